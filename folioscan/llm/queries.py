@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
 from .common import table
+from .dart_minhash import near_duplicates
 from .exact_dedup import exact_dedup
 from .licenses import license_report
 from .mixing import mix
@@ -45,6 +46,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_noisy_or_toxicity": op1_noisy_or_toxicity,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
@@ -52,6 +57,7 @@ QUERIES = {
     "op5_chunked_warc": op5_chunked_warc,
     "op6_license_scan": op6_license_scan,
     "op7_source_mixing": op7_source_mixing,
+    "op9_dart_minhash": op9_dart_minhash,
 }
 
 ORACLE = {

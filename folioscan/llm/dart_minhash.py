@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -250,3 +251,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     sizes = out.groupBy("class_id").agg(F.sum("n").alias("class_size"))
     o, s = out.alias("o"), sizes.hint("merge").alias("s")
     return o.join(s, F.col("o.class_id") == F.col("s.class_id"), "left").select("o.doc_id", "o.class_id", F.coalesce("s.class_size", F.lit(1)).alias("class_size"), (F.col("o.kept") & F.col("o.doc_id").eqNullSafe(F.col("o.class_id"))).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stand for their class of near duplicates, with their own columns.
+
+    Of rows that repeat a doc_id the first stays; rows with a null doc_id all stay.
+    """
+    own = docs.columns
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.withColumn("_id", F.col(id_col).cast("long"))
+    named = rows.join(kept.hint("merge"), "_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("_id"))
+    return named.withColumn("_rn", first).where("_rn = 1").select(*own).union(rows.where("_id IS NULL").select(*own))

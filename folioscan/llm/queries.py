@@ -8,6 +8,7 @@ from ..session import fresh_path
 from .common import table
 from .dart_minhash import near_duplicates
 from .exact_dedup import exact_dedup
+from .html_extract import extract
 from .licenses import license_report
 from .mixing import mix
 from .packing import pack
@@ -46,6 +47,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op5_chunked_warc": op5_chunked_warc,
     "op6_license_scan": op6_license_scan,
     "op7_source_mixing": op7_source_mixing,
+    "op8_wrapper_extraction": op8_wrapper_extraction,
     "op9_dart_minhash": op9_dart_minhash,
 }
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
+from .audio import render_vector, same_recordings
 from .common import table
 from .dart_minhash import near_duplicates
 from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .licenses import license_report
+from .line_dedup import line_report
 from .mixing import mix
 from .packing import pack
 from .toxicity import score, train
@@ -35,6 +37,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
 
@@ -55,15 +61,22 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: each embedding is rendered as a recording of one note per number."""
+    return same_recordings(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", render_vector).withColumnRenamed("rec_id", "vec_id")
+
+
 QUERIES = {
     "op1_noisy_or_toxicity": op1_noisy_or_toxicity,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_segment_line_dedup": op4_segment_line_dedup,
     "op5_chunked_warc": op5_chunked_warc,
     "op6_license_scan": op6_license_scan,
     "op7_source_mixing": op7_source_mixing,
     "op8_wrapper_extraction": op8_wrapper_extraction,
     "op9_dart_minhash": op9_dart_minhash,
+    "op10_chroma_fingerprints": op10_chroma_fingerprints,
 }
 
 ORACLE = {

@@ -1 +1,8 @@
 """Spark-native document-extraction engine: file intake, box post-processing, decoding, matching, sinks."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get the functions themselves, so they need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,6 +1,472 @@
-"""Registered queries over the reference operators, with their SQL."""
+"""Registered queries over the operators, each with its SQL.
+
+The tables hold no images, so boxes, tensors, uploads and requests are derived from their columns by fixed
+arithmetic; the SQL states the same arithmetic on its own.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import numbers as N
+from .functions import tensors as A
+from .functions import text as T
+from .operators import boxes as B
+from .operators import files as FI
+from .operators import requests as R
+from .operators import results as RE
+from .sources import readers as S
+from .sources import sinks as K
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+PHRASE = "on the"
+ALLOWED = "text/html,application/pdf,image/png"
+NOW = "2024-06-01 00:00:00"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def literal_rows(spark: SparkSession, sql: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {sql}")
+
+
+MATCH_SQL = r"""text <> '' AND contains(replace(replace(lower(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 'ß', 'ss'), ' ', ''), 'onthe')"""
+
+
+@query(f"SELECT doc_id, coalesce({MATCH_SQL}, false) AS is_match FROM documents")
+def text_match(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.is_match(F.col("text"), PHRASE).alias("is_match"))
+
+
+@query("SELECT conv_id, turn, coalesce(text <> '', false) AS is_match FROM conversations")
+def text_match_blank_search(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_match(F.col("text"), " ").alias("is_match"))
+
+
+@query("SELECT item_id, false AS is_match FROM benchmark")
+def text_match_empty_search(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", T.is_match(F.col("text"), "").alias("is_match"))
+
+
+def _boxes(spark, sf_dir):
+    """Line items as boxes of the image that is their order."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("image_id"),
+        F.col("l_linenumber").alias("ord"),
+        F.col("l_quantity").alias("quantity"),
+        (F.col("l_partkey") % 23).cast("int").alias("class_id"),
+        (F.col("l_discount") * 10).alias("score"),
+        (F.col("l_partkey") % 1000 - 20).cast("double").alias("x1"),
+        (F.col("l_suppkey") % 1000 - 20).cast("double").alias("y1"),
+        (F.col("l_partkey") % 1000 - 20 + F.col("l_quantity") * 1.5 - 10).alias("x2"),
+        (F.col("l_suppkey") % 1000 - 20 + F.col("l_linenumber") * 6.5).alias("y2"),
+        F.lit(800).alias("width"),
+        F.lit(90).alias("height"),
+        F.col("l_partkey").alias("part"),
+        F.col("l_suppkey").alias("supp"),
+    )
+
+
+BOXES_SQL = """b AS (SELECT l_orderkey AS image_id, l_linenumber AS ord, (l_partkey % 23)::INT AS class_id, l_discount * 10 AS score,
+    l_quantity AS quantity, (l_partkey % 1000 - 20)::DOUBLE AS x1, (l_suppkey % 1000 - 20)::DOUBLE AS y1,
+    l_partkey % 1000 - 20 + l_quantity * 1.5::DOUBLE - 10 AS x2, l_suppkey % 1000 - 20 + l_linenumber * 6.5::DOUBLE AS y2,
+    l_partkey AS part, l_suppkey AS supp FROM lineitem)"""
+
+
+@query(f"WITH {BOXES_SQL} SELECT image_id, ord, part, supp, row_number() OVER (PARTITION BY image_id ORDER BY supp, part, ord, quantity) AS id FROM b")
+def item_reading_order(spark, sf_dir):
+    boxes = B.reading_order(_boxes(spark, sf_dir), "image_id", "supp", "part", ["ord", "quantity"])
+    return boxes.select("image_id", "ord", "part", "supp", F.col("id").cast("long").alias("id"))
+
+
+@query(f"WITH {BOXES_SQL} SELECT image_id, ord, part, round_even((x1 + x2) / 2, 0)::INT AS cx, round_even((y1 + y2) / 2, 0)::INT AS cy FROM b")
+def center_point(spark, sf_dir):
+    return _boxes(spark, sf_dir).select("image_id", "ord", "part", N.center(F.col("x1"), F.col("x2")).alias("cx"), N.center(F.col("y1"), F.col("y2")).alias("cy"))
+
+
+LABELS_SQL = "(VALUES " + ", ".join(f"({k}, '{v}')" for k, v in B.LAYOUT_LABELS.items()) + ") AS l(k, label)"
+CLAMPED_SQL = """c AS (SELECT image_id, ord, part, class_id, score, greatest(0, least(round_even(x1, 0)::INT, 800)) AS x1, greatest(0, least(round_even(y1, 0)::INT, 90)) AS y1,
+    greatest(0, least(round_even(x2, 0)::INT, 800)) AS x2, greatest(0, least(round_even(y2, 0)::INT, 90)) AS y2 FROM b)"""
+
+
+@query(
+    f"""WITH {BOXES_SQL}, {CLAMPED_SQL} SELECT image_id, ord, part, coalesce(label, class_id::VARCHAR) AS label, score,
+    round_even((x1 + x2) / 2, 0)::INT AS center_x, round_even((y1 + y2) / 2, 0)::INT AS center_y
+    FROM c LEFT JOIN {LABELS_SQL} ON k = class_id WHERE score >= 0.3::DOUBLE AND x2 > x1 AND y2 > y1"""
+)
+def layout_gate(spark, sf_dir):
+    return B.layout_boxes(_boxes(spark, sf_dir)).select("image_id", "ord", "part", "label", "score", "center_x", "center_y")
+
+
+@query(f"WITH {BOXES_SQL} SELECT image_id, ord, part, greatest(0, least(round_even(x2 * 640 / 320, 0)::INT, 640)) AS px, greatest(0, least(round_even(y2 * 480 / 160, 0)::INT, 480)) AS py FROM b")
+def clamp_scale(spark, sf_dir):
+    x, y = B.scaled_point(F.col("x2"), F.col("y2"), F.lit(640), F.lit(480), F.lit(320), F.lit(160))
+    return _boxes(spark, sf_dir).select("image_id", "ord", "part", x.alias("px"), y.alias("py"))
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey AS image_id, l_partkey AS part, l_linenumber AS ord,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS contour_ord,
+        least(l_quantity, l_linenumber * 2) AS side, l_discount * 10 AS score, l_quantity AS w, l_linenumber * 2 AS h FROM lineitem),
+    d AS (SELECT *, w * h * 1.4::DOUBLE / (2 * (w + h)) AS distance FROM r WHERE contour_ord < 5 AND side >= 3 AND score >= 0.45::DOUBLE)
+    SELECT image_id, part, ord, contour_ord, round(distance, 6) AS distance, round(least(w, h) + 2 * distance, 6) AS side_after FROM d WHERE least(w, h) + 2 * distance >= 5"""
+)
+def detection_gate(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("image_id"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("ord"), F.col("l_suppkey").alias("supp"),
+        F.col("l_quantity").alias("box_width"), (F.col("l_linenumber") * 2).alias("box_height"), (F.col("l_discount") * 10).alias("score"),
+    )
+    rows = B.reading_order(rows, "image_id", "ord", "part", ["supp", "box_width"]).withColumn("contour_ord", (F.col("id") - 1).cast("long"))
+    kept = B.detection_boxes(rows.withColumn("side", F.least("box_width", "box_height")), cap=5)
+    return kept.select("image_id", "part", "ord", "contour_ord", F.round("distance", 6).alias("distance"), F.round("side_after", 6).alias("side_after"))
+
+
+def _points():
+    a, b, c = F.col("l_partkey") % 50, F.col("l_suppkey") % 40, F.col("l_linenumber")
+    made = [(a, b), (a + c * 5, b + 1), (a + 3, b + c), (b, a)]
+    return F.array(*[F.struct(x.cast("int").alias("x"), y.cast("int").alias("y")) for x, y in made])
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey AS image_id, l_linenumber AS ord, l_partkey AS part, (l_partkey % 50)::INT AS a, (l_suppkey % 40)::INT AS b, l_linenumber AS c FROM lineitem),
+    q AS (SELECT image_id, ord, part, list_sort([{'x': a, 'i': 0, 'y': b}, {'x': a + c * 5, 'i': 1, 'y': b + 1}, {'x': a + 3, 'i': 2, 'y': b + c}, {'x': b, 'i': 3, 'y': a}]) AS s FROM p)
+    SELECT image_id, ord, part,
+        CASE WHEN s[2].y > s[1].y THEN s[1].x ELSE s[2].x END::INT AS tl_x, CASE WHEN s[2].y > s[1].y THEN s[1].y ELSE s[2].y END::INT AS tl_y,
+        CASE WHEN s[4].y > s[3].y THEN s[3].x ELSE s[4].x END::INT AS tr_x, CASE WHEN s[4].y > s[3].y THEN s[4].x ELSE s[3].x END::INT AS br_x,
+        CASE WHEN s[2].y > s[1].y THEN s[2].y ELSE s[1].y END::INT AS bl_y FROM q"""
+)
+def corner_order(spark, sf_dir):
+    c = A.corners(_points())
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("part"), c.alias("c"))
+    at = lambda i, f: F.element_at("c", i)[f]
+    return rows.select("image_id", "ord", "part", at(1, "x").alias("tl_x"), at(1, "y").alias("tl_y"), at(2, "x").alias("tr_x"), at(3, "x").alias("br_x"), at(4, "y").alias("bl_y"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, n_chars % 5000 + 1 AS h, n_chars % 977 + 1 AS w FROM documents),
+    r AS (SELECT *, CASE WHEN greatest(h, w) > 960 THEN 960.0::DOUBLE / (CASE WHEN h > w THEN h ELSE w END) ELSE 1.0::DOUBLE END AS ratio FROM d)
+    SELECT doc_id, greatest(32, (round_even(floor(h * ratio) / 32, 0) * 32)::INT) AS height, greatest(32, (round_even(floor(w * ratio) / 32, 0) * 32)::INT) AS width FROM r"""
+)
+def resize_detection(spark, sf_dir):
+    height, width = N.detection_size(F.col("n_chars") % 5000 + 1, F.col("n_chars") % 977 + 1)
+    return table(spark, sf_dir, "documents").select("doc_id", height.alias("height"), width.alias("width"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, (n_chars % 100 + 1)::DOUBLE AS h, (n_chars % 9001 + 1)::DOUBLE AS w FROM documents),
+    t AS (SELECT *, floor(48 * greatest(320::DOUBLE / 48, w / h))::INT AS target FROM d)
+    SELECT doc_id, CASE WHEN target > 3200 THEN 3200 ELSE target END AS target, CASE WHEN target > 3200 THEN 3200 ELSE least(ceil(48 * w / h)::INT, target) END AS resized FROM t"""
+)
+def resize_recognition(spark, sf_dir):
+    target, resized = N.recognition_size((F.col("n_chars") % 100 + 1).cast("double"), (F.col("n_chars") % 9001 + 1).cast("double"))
+    return table(spark, sf_dir, "documents").select("doc_id", target.alias("target"), resized.alias("resized"))
+
+
+@query("SELECT vec_id, len(list_filter(embedding, lambda p: p > 0.2::FLOAT))::BIGINT AS n_set FROM embeddings")
+def binary_threshold(spark, sf_dir):
+    mask = A.binarize(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(mask, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_set"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: (v::DOUBLE / 255 - 0.5) / 0.5)), 6) AS total, 80::BIGINT AS width FROM embeddings")
+def tensor_normalize(spark, sf_dir):
+    padded = A.normalize_and_pad(F.col("embedding"), 80)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", padded.alias("t"))
+    return rows.select("vec_id", F.round(F.aggregate("t", F.lit(0.0), lambda a, b: a + b), 6).alias("total"), F.size("t").cast("long").alias("width"))
+
+
+@query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS best FROM embeddings")
+def argmax(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", A.argmax(F.col("embedding")).alias("best"))
+
+
+CHARSET = [S.BLANK, "a", "b", "c", "d", "e", "f", S.SPACE]
+
+
+@query(
+    """WITH r AS (SELECT vec_id, list_transform(range(8), lambda i: embedding[i * 8 + 1 : i * 8 + 8]) AS m FROM embeddings),
+    s AS (SELECT vec_id, list_transform(m, lambda x: list_position(x, list_max(x)) - 1) AS k, list_transform(m, lambda x: list_max(x)) AS p FROM r),
+    e AS (SELECT vec_id, k, p, list_filter(range(1, 9), lambda i: k[i] <> 0 AND (i = 1 OR k[i] <> k[i - 1])) AS steps FROM s)
+    SELECT vec_id, array_to_string(list_transform(steps, lambda i: ['blank', 'a', 'b', 'c', 'd', 'e', 'f', ' '][k[i] + 1]), '') AS text,
+        round(CASE WHEN len(steps) > 0 THEN list_sum(list_transform(steps, lambda i: p[i]::DOUBLE)) / len(steps) ELSE 0 END, 6) AS score FROM e"""
+)
+def ctc_decode(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", A.rows_of(F.col("embedding"), 8).alias("m"))
+    return B.decode_characters(rows, "m", CHARSET).select("vec_id", "text", F.round("text_score", 6).alias("score"))
+
+
+@query(
+    f"""WITH i AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS id, n_chars FROM documents),
+    t AS (SELECT source, count(*) AS n_items, count(*) FILTER (WHERE {MATCH_SQL}) AS n_match, sum(id * round_even(n_chars / 2.0::DOUBLE, 0)::BIGINT)::BIGINT AS x_sum FROM i GROUP BY source)
+    SELECT source AS unique_id, n_items, n_match, x_sum FROM t"""
+)
+def result_json_summary(spark, sf_dir):
+    parsed = result_json(spark, sf_dir).select("unique_id", F.from_json("json", f"uniqueId string, layoutList {RE.LAYOUT_TYPE}, itemList {RE.ITEM_TYPE}").alias("d"))
+    items = F.col("d.itemList")
+    return parsed.select(
+        "unique_id",
+        F.size(items).cast("long").alias("n_items"),
+        F.size(F.filter(items, lambda i: i["isMatch"])).cast("long").alias("n_match"),
+        F.aggregate(items, F.lit(0).cast("long"), lambda a, i: a + i["id"] * i["centerPoint"]["x"].cast("long")).alias("x_sum"),
+    )
+
+
+@query()
+def result_json(spark, sf_dir):
+    """Flagship: documents as recognised items of the image that is their source, matched, ordered, numbered, nested, serialised."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text", "n_chars")
+    items = B.reading_order(docs.withColumn("x", F.col("doc_id")), "source", "n_chars", "x", [])
+    item = B.item_struct(F.col("id"), N.round_even(F.col("n_chars") / 2), (F.col("doc_id") % 100).cast("int"), F.col("text"), T.is_match(F.col("text"), PHRASE))
+    lists = RE.item_list(items.select("source", item.alias("item")), "source")
+    layout = F.array(B.layout_struct(F.lit("text"), F.lit(0.9), F.lit(1), F.lit(2)))
+    document = RE.result_document(F.col("source"), layout, F.col("itemList"))
+    return lists.select(F.col("source").alias("unique_id"), RE.result_json(document).alias("json"))
+
+
+@query("""SELECT doc_id, '{"response":{"stdout":"' || doc_id || '","stderr":""}}' AS response, '{"error":"' || lang || '"}' AS error FROM documents""")
+def response_envelope(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", RE.envelope(F.col("doc_id").cast("string")).alias("response"), RE.error_document(F.col("lang")).alias("error"))
+
+
+FIRST_KINDS: dict[str, tuple] = {}
+for _k, _m, _e, _c, _b in FI.signature_rows():
+    FIRST_KINDS.setdefault(_e, (_m, _e, _c))
+KINDS_SQL = "(VALUES " + ", ".join(f"('{e}', '{m}', '{c}')" for m, e, c in FIRST_KINDS.values()) + ") AS k(ext, mime, category)"
+EXT_SQL = r"lower(regexp_extract(url, '\.([^.]*)$', 1))"
+
+
+@query(f"SELECT page_id, {EXT_SQL} AS extension, mime, category FROM pages LEFT JOIN {KINDS_SQL} ON ext = {EXT_SQL}")
+def mime_by_extension(spark, sf_dir):
+    kind = FI.by_extension(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", T.extension(F.col("url")).alias("extension"), kind["mime"].alias("mime"), kind["category"].alias("category"))
+
+
+def _heads(spark, sf_dir):
+    """Documents as files: the mark of a kind (or none) in front of their text."""
+    marks = FI.signature_rows()
+    head = F.array(*[F.lit(_head(m)) for *_, m in marks])
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.get(head, (F.col("doc_id") % len(marks)).cast("int")), F.encode("text", "UTF-8")).alias("content"))
+
+
+def _head(magic) -> bytes:
+    out = bytearray(b"." * max([0, *(o + len(b) for o, b in magic)]))
+    for offset, mark in magic:
+        out[offset : offset + len(mark)] = mark
+    return bytes(out)
+
+
+def _magic_sql() -> str:
+    rows = FI.signature_rows()
+    heads = ", ".join(f"({k}, unhex('{_head(m).hex()}'))" for k, *_, m in rows)
+    checks = ", ".join(f"({k}, '{mime}', {o}, '{b.hex().upper()}', {len(m)})" for k, mime, _, _, m in rows for o, b in m)
+    return f"""WITH h AS (SELECT * FROM (VALUES {heads}) AS h(k, head)), s AS (SELECT * FROM (VALUES {checks}) AS s(ord, mime, start, mark, n)),
+    f AS (SELECT doc_id, hex(head || encode(text)) AS content FROM documents JOIN h ON k = doc_id % {len(rows)}),
+    m AS (SELECT doc_id, ord, mime FROM f JOIN s ON substr(content, 2 * start + 1, len(mark)) = mark GROUP BY doc_id, ord, mime, n HAVING count(*) = n),
+    b AS (SELECT doc_id, max(ord)::INT AS ord, max_by(mime, ord) AS mime FROM m GROUP BY doc_id)
+    SELECT doc_id, ord, mime FROM documents LEFT JOIN b USING (doc_id)"""
+
+
+@query(_magic_sql())
+def mime_by_magic(spark, sf_dir):
+    kind = FI.sniffed(F.col("content"))
+    return _heads(spark, sf_dir).select("doc_id", kind["ord"].alias("ord"), kind["mime"].alias("mime"))
+
+
+@query(_magic_sql().replace("LEFT JOIN b", "JOIN b"))
+def mime_by_magic_join(spark, sf_dir):
+    return FI.sniff_join(_heads(spark, sf_dir), "content", "doc_id")
+
+
+@query(f"SELECT page_id, contains('{ALLOWED}', coalesce(mime, 'undefined')) AS allowed FROM pages LEFT JOIN {KINDS_SQL} ON ext = {EXT_SQL}")
+def mime_allow(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", FI.mime_allowed(FI.by_extension(F.col("url"))["mime"], ALLOWED).alias("allowed"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN true ELSE n_chars * 1000 <= 2 * 1048576 END AS allowed, false AS without_limit FROM documents")
+def size_limit(spark, sf_dir):
+    size = F.when(F.col("doc_id") % 7 != 0, F.col("n_chars") * 1000)
+    return table(spark, sf_dir, "documents").select("doc_id", N.size_allowed(size, F.lit("2")).alias("allowed"), N.size_allowed(size, F.lit("x")).alias("without_limit"))
+
+
+PARTS = """('r1', 0, 'file', 'a.png', X'89504E470D0A1A0A00'), ('r1', 1, 'searchText', NULL, X'6869'),
+    ('r2', 0, 'searchText', NULL, X'6869'), ('r3', 0, 'file', 'b.xyz', X'00'), ('r3', 1, 'file', 'c.pdf', X'25504446'),
+    ('r4', 0, 'file', 'd.html', X'3C703E'), ('r5', 0, 'file', 'e.pdf', X'2550444600'), ('r5', 1, 'file', 'f.png', X'89504E470D0A1A0A'),
+    ('r5', 2, 'searchText', NULL, X'31'), ('r5', 3, 'searchText', NULL, X'32') AS t(request_id, ord, name, file_name, buffer)"""
+
+
+@query(
+    """SELECT * FROM (VALUES ('r1', '', 'a.png', 'a.png', 'hi'), ('r2', 'Parameter ''file'' is missing.', NULL, NULL, 'hi'),
+    ('r3', 'Mime type are not allowed.File size exceeds limit.', 'b.xyz', 'c.pdf', NULL), ('r4', '', 'd.html', 'd.html', NULL),
+    ('r5', 'File size exceeds limit.File size exceeds limit.', 'e.pdf', 'f.png', '2')) AS t(request_id, error, stored, processed, search_text)
+    WHERE request_id <> 'r1' UNION ALL SELECT 'r1', 'File size exceeds limit.', 'a.png', 'a.png', 'hi'"""
+)
+def upload_validation(spark, sf_dir):
+    parts = literal_rows(spark, PARTS)
+    return FI.check_uploads(parts, ALLOWED, "0").join(FI.chosen_parts(parts), "request_id")
+
+
+@query(r"SELECT page_id, regexp_replace(trim(string_split(url, '/')[-1]), '\.[^/.]+$', '') AS base_name, string_split(url, '/')[-1] AS name FROM pages")
+def base_name(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.base_name(F.col("url")).alias("base_name"), T.file_name(F.col("url")).alias("name"))
+
+
+@query(
+    """WITH s AS (SELECT doc_id, n_chars * n_chars * (doc_id % 5) * (doc_id % 3 + 1) AS n FROM documents)
+    SELECT doc_id, CASE WHEN n >= 1099511627776 THEN printf('%.1f TB', floor(n / 1099511627776 * 10 + 0.5) / 10) WHEN n >= 1073741824 THEN printf('%.1f GB', floor(n / 1073741824 * 10 + 0.5) / 10)
+    WHEN n >= 1048576 THEN printf('%.1f MB', floor(n / 1048576 * 10 + 0.5) / 10) WHEN n >= 1024 THEN printf('%.1f KB', floor(n / 1024 * 10 + 0.5) / 10) ELSE n || ' B' END AS size FROM s"""
+)
+def size_human(spark, sf_dir):
+    n = F.col("n_chars") * F.col("n_chars") * (F.col("doc_id") % 5) * (F.col("doc_id") % 3 + 1)
+    return table(spark, sf_dir, "documents").select("doc_id", N.human_size(n).alias("size"))
+
+
+@query("SELECT event_id, lower(to_base(epoch_us(ts) // 1000, 36)) || '-' || lower(to_base(user_id, 36)) AS id FROM events")
+def unique_id_prefix(spark, sf_dir):
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", N.unique_id(millis, F.col("user_id")).alias("id"))
+
+
+@query("SELECT event_id, json_valid(props) AS valid FROM events")
+def json_check(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.is_json(F.col("props")).alias("valid"))
+
+
+@query(r"SELECT doc_id, regexp_replace(chr(27) || '[1;31m' || text || chr(27) || '[0m', chr(27) || '[\[0-9;]*[a-zA-Z]', '', 'g') AS text FROM documents")
+def ansi_strip(spark, sf_dir):
+    coloured = F.concat(F.lit("\x1b[1;31m"), "text", F.lit("\x1b[0m"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_terminal_codes(coloured).alias("text"))
+
+
+@query("SELECT o_orderkey, format('{:,}', floor(o_totalprice)::BIGINT) AS whole, strftime(o_orderdate, '%Y/%-m/%-d %H:%M:%S') AS full_date, strftime(o_orderdate, '%Y/%-m/%-d') AS day FROM orders")
+def number_and_date_format(spark, sf_dir):
+    date = F.col("o_orderdate").cast("timestamp")
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.number_text(F.floor("o_totalprice")).alias("whole"), N.date_text(date).alias("full_date"), N.date_text(date, clock=False).alias("day"))
+
+
+HEADERS = """(1, 'a, b', '9.9.9.9', 'Bearer abc'), (2, '', '::ffff:1.2.3.4', 'bearer x'), (3, NULL, '10.0.0.1:8080', 'Bearer '), (4, NULL, NULL, ''), (5, '1.1.1.1', NULL, NULL) AS t(id, forwarded, ip, auth)"""
+
+
+@query("SELECT * FROM (VALUES (1, 'a', 'a', 'abc'), (2, '::ffff:1.2.3.4', '1.2.3.4', ''), (3, '10.0.0.1:8080', '8080', ''), (4, '', '', ''), (5, '1.1.1.1', '1.1.1.1', '')) AS t(id, client, key, token)")
+def request_headers(spark, sf_dir):
+    client = T.client_ip(F.col("forwarded"), F.col("ip"))
+    return literal_rows(spark, HEADERS).select("id", client.alias("client"), T.limiter_key(client).alias("key"), T.bearer_token(F.col("auth")).alias("token"))
+
+
+@query(f"SELECT event_id, epoch(TIMESTAMP '{NOW}') - epoch(date_trunc('second', ts)) > 86400 * 30 AS expired FROM events")
+def retention(spark, sf_dir):
+    when = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", R.expired(when, F.lit(NOW).cast("timestamp"), 86400 * 30).alias("expired"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '15 minutes', ts) AS window_start, count(*) AS requests FROM events GROUP BY ALL")
+def rate_limit_window(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return R.quota_counts(rows, "event_type", "ts").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    """WITH p AS (SELECT event_id, row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL '15 minutes', ts) ORDER BY ts, event_id) AS place FROM events)
+    SELECT event_id, place, place <= 2 AS admitted FROM p"""
+)
+def rate_limit_admit(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return R.admit(rows, "event_type", "ts", ["event_id"], limit=2).select("event_id", F.col("place").cast("long").alias("place"), "admitted")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def no_clobber(spark, sf_dir):
+    uploads = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"))
+    existing = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"))
+    return FI.new_uploads(uploads, existing).withColumnRenamed("path", "doc_id")
+
+
+@query("SELECT doc_id, base64(encode(text)) AS stdout FROM documents")
+def download_base64(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.unwrapped_base64(F.encode("text", "UTF-8")).alias("stdout"))
+
+
+@query("SELECT * FROM (VALUES (1, 'CUDAExecutionProvider,CPUExecutionProvider'), (2, 'CPUExecutionProvider'), (3, '')) AS t(id, chosen)")
+def provider_select(spark, sf_dir):
+    rows = literal_rows(spark, "(1, array('CPUExecutionProvider', 'X', 'CUDAExecutionProvider')), (2, array('CPUExecutionProvider')), (3, array('X')) AS t(id, available)")
+    return rows.select("id", F.array_join(S.providers_in_order(F.col("available")), ",").alias("chosen"))
+
+
+@query("SELECT * FROM (VALUES ('A', 'set'), ('B', 'two words'), ('C', 'x=y'), ('D', 'late'), ('lonely', 'lonely')) AS t(key, value)")
+def env_precedence(spark, sf_dir):
+    lines = literal_rows(spark, """(0, 'A=file'), (1, "B='two words'"), (2, 'C=x=y'), (3, ''), (4, 'D='), (5, 'D=late'), (6, 'B=again'), (7, 'lonely') AS t(ord, line)""")
+    existing = literal_rows(spark, "('A', 'set'), ('B', '') AS t(key, value)")
+    return S.effective_settings(S.parse_settings(lines), existing)
+
+
+@query("SELECT * FROM (VALUES ('a_local', 'jp', 'ja-JP', 'JPY'), ('prod_it', 'it', 'it-IT', 'EUR'), ('x_', 'jp', 'ja-JP', 'JPY'), ('us', 'us', 'en-US', 'USD')) AS t(name, key, locale, currency)")
+def locale_lookup(spark, sf_dir):
+    rows = literal_rows(spark, "('a_local'), ('prod_it'), ('x_'), ('us') AS t(name)").withColumn("key", S.locale_key(F.col("name")))
+    return S.with_locale(rows, "key")
+
+
+AUDIT_TEXT = (
+    '{"metadata":{"vulnerabilities":{"low":2,"high":1},"dependencies":{"total":9}},"vulnerabilities":{"a":{"severity":"high","isDirect":true,"range":"<2","fixAvailable":true,'
+    '"via":["b",{"source":7,"title":"t"},{"title":"u"}]},"b":{"fixAvailable":{"name":"bb","version":"3"},"via":[]},"c":{"severity":"low","fixAvailable":false}}}'
+)
+
+
+def _audit(spark):
+    return S.read_audit(spark.createDataFrame([(AUDIT_TEXT,)], "text string"), "text")
+
+
+@query(
+    """SELECT * FROM (VALUES ('a', 'high', 'Direct', '<2', 'Available (version unknown).', 'b | 7:t | advisory:u'), ('b', 'unknown', 'Transitive', 'n/d', 'bb@3', ''),
+    ('c', 'low', 'Transitive', 'n/d', 'Not available', '')) AS t(name, severity, kind, range, fix, cause)"""
+)
+def audit_packages(spark, sf_dir):
+    return K.audit_packages(_audit(spark))
+
+
+@query("SELECT '9' AS total, 0 AS info, 2 AS low, 0 AS moderate, 1 AS high, 0 AS critical, 3 AS n_packages, 2 AS n_fixable")
+def audit_summary(spark, sf_dir):
+    return K.audit_summary(_audit(spark))
+
+
+LISTING = "('a/ab.txt'), ('a/b.txt'), ('c.txt'), ('a/d/dx.png'), ('e/f/g/gz') AS t(path)"
+
+
+@query("SELECT * FROM (VALUES ('a/'), ('e/'), ('a/ab.txt'), ('a/b.txt'), ('c.txt')) AS t(entry)")
+def listing_two_levels(spark, sf_dir):
+    return FI.two_levels(literal_rows(spark, LISTING), ".txt")
+
+
+@query("SELECT * FROM (VALUES ('a/ab.txt'), ('a/d/dx.png'), ('e/f/g/gz')) AS t(path)")
+def listing_named_after_directory(spark, sf_dir):
+    return FI.named_after_directory(literal_rows(spark, LISTING))
+
+
+@query("SELECT 'a/' AS directory")
+def listing_first_ending(spark, sf_dir):
+    return FI.first_path_ending(literal_rows(spark, LISTING), "b.txt")
+
+
+@query("SELECT page_id, string_split(replace(url, 'http://', ''), ':')[1] AS host, regexp_replace(url, '^https?://', '') AS bare, trim(regexp_replace('  ' || url || '  x ', '\\s+', ' ', 'g')) AS squeezed FROM pages")
+def url_parts(spark, sf_dir):
+    url = F.col("url")
+    bare = T.strip_first(T.strip_first(url, "https://"), "http://")
+    return table(spark, sf_dir, "pages").select("page_id", F.get(T.host_and_port(url), F.lit(0)).alias("host"), bare.alias("bare"), T.squeeze(F.concat(F.lit("  "), url, F.lit("  x "))).alias("squeezed"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag || ' ' || printf('%.2f', l_discount) AS caption, CASE WHEN l_linestatus = 'O' THEN 'green' ELSE 'red' END AS colour FROM lineitem")
+def overlay_labels(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.labelled_score(F.col("l_returnflag"), F.col("l_discount")).alias("caption"), K.overlay_colour(F.col("l_linestatus") == "O").alias("colour"))

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import sys
 from math import isqrt
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-# Executors get the functions themselves, so they need no copy of this package on their path.
-cloudpickle.register_pickle_by_value(sys.modules["folioscan"])
-
 #: The white space that the word and text contracts name.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"

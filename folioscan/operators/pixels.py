@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ..functions import numbers as N
+from ..functions.numbers import BOX_SCORE, DETECTION_SIDE, DETECTION_STEP, MAX_CANDIDATES, MIN_SIDE, MIN_SIDE_AFTER, PIXEL_THRESHOLD, RECOGNITION_CAP, RECOGNITION_HEIGHT, RECOGNITION_WIDTH, UNCLIP
 
 LAYOUT_SIDE = 800
 MEAN, SPREAD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -57,8 +57,8 @@ def layout_tensor(image: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def detection_side(height: int, width: int) -> tuple[int, int]:
-    ratio = N.DETECTION_SIDE / (height if height > width else width) if max(height, width) > N.DETECTION_SIDE else 1.0
-    fit = lambda side: max(int(round(int(side * ratio) / N.DETECTION_STEP) * N.DETECTION_STEP), N.DETECTION_STEP)
+    ratio = DETECTION_SIDE / (height if height > width else width) if max(height, width) > DETECTION_SIDE else 1.0
+    fit = lambda side: max(int(round(int(side * ratio) / DETECTION_STEP) * DETECTION_STEP), DETECTION_STEP)
     return fit(height), fit(width)
 
 
@@ -72,13 +72,13 @@ def detection_tensor(image: np.ndarray) -> np.ndarray:
 def recognition_tensor(crop: np.ndarray) -> np.ndarray:
     """1 x 3 x 48 x target width in -1..1; zeros to the right of the text."""
     height, width = crop.shape[:2]
-    target = int(N.RECOGNITION_HEIGHT * max(N.RECOGNITION_WIDTH / N.RECOGNITION_HEIGHT, width / height))
-    if target > N.RECOGNITION_CAP:
-        target = resized = N.RECOGNITION_CAP
+    target = int(RECOGNITION_HEIGHT * max(RECOGNITION_WIDTH / RECOGNITION_HEIGHT, width / height))
+    if target > RECOGNITION_CAP:
+        target = resized = RECOGNITION_CAP
     else:
-        resized = min(math.ceil(N.RECOGNITION_HEIGHT * width / height), target)
-    out = np.zeros((1, 3, N.RECOGNITION_HEIGHT, target), np.float32)
-    out[0, :, :, :resized] = (resize(crop, resized, N.RECOGNITION_HEIGHT).astype(np.float32).transpose(2, 0, 1) / 255 - 0.5) / 0.5
+        resized = min(math.ceil(RECOGNITION_HEIGHT * width / height), target)
+    out = np.zeros((1, 3, RECOGNITION_HEIGHT, target), np.float32)
+    out[0, :, :, :resized] = (resize(crop, resized, RECOGNITION_HEIGHT).astype(np.float32).transpose(2, 0, 1) / 255 - 0.5) / 0.5
     return out
 
 
@@ -208,7 +208,7 @@ def grow(rectangle: Rectangle) -> Rectangle:
     around = 2 * (rectangle.width + rectangle.height)
     if around == 0:
         return rectangle
-    d = rectangle.width * rectangle.height * N.UNCLIP / around
+    d = rectangle.width * rectangle.height * UNCLIP / around
     center = rectangle.points.mean(0)
     along, across = rectangle.points[1] - rectangle.points[0], rectangle.points[3] - rectangle.points[0]
     along = along / (np.hypot(*along) or 1) * (rectangle.width / 2 + d)
@@ -219,18 +219,18 @@ def grow(rectangle: Rectangle) -> Rectangle:
 
 def text_boxes(probability: np.ndarray, image_height: int, image_width: int) -> list[dict]:
     """Boxes of a probability map in the image, in reading order: score and four corners each."""
-    mask = probability > np.float32(N.PIXEL_THRESHOLD)
+    mask = probability > np.float32(PIXEL_THRESHOLD)
     height, width = probability.shape
     found = []
-    for points in contours(mask)[: N.MAX_CANDIDATES]:
+    for points in contours(mask)[: MAX_CANDIDATES]:
         box = smallest_rectangle(points)
-        if box.short < N.MIN_SIDE:
+        if box.short < MIN_SIDE:
             continue
         score = polygon_mean(probability, order_corners(box.points))
-        if score < N.BOX_SCORE:
+        if score < BOX_SCORE:
             continue
         grown = grow(box)
-        if grown.short < N.MIN_SIDE_AFTER:
+        if grown.short < MIN_SIDE_AFTER:
             continue
         corners = order_corners(grown.points) * [image_width / width, image_height / height]
         fit = [[max(0, min(int(round(float(x))), image_width)), max(0, min(int(round(float(y))), image_height))] for x, y in corners]

@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import normalize_value
 from ..operators import boxes as B
-from ..operators import files, pixels, results
+from ..operators import files, results
+from ..operators.pixels import crop_box, decode_steps, detection_tensor, layout_tensor, recognition_tensor, text_boxes
+from ..session import materialize
 from ..sources.sinks import write_results
 
 Image = np.ndarray
@@ -51,7 +54,7 @@ def infer(images: DataFrame, models: Models) -> DataFrame:
                     image = decode(content)
                     if image is not None:
                         height, width = image.shape[:2]
-                        row[2:5] = [width, height, np.asarray(layout(pixels.layout_tensor(image)), float).tolist()]
+                        row[2:5] = [width, height, np.asarray(layout(layout_tensor(image)), float).tolist()]
                         row[5] = _read_boxes(image, detection, recognition, list(models.charset))
                 except Exception as error:  # noqa: BLE001 the file is set aside with its message
                     row[6] = f"{type(error).__name__}: {error}"
@@ -63,9 +66,9 @@ def infer(images: DataFrame, models: Models) -> DataFrame:
 
 def _read_boxes(image: Image, detection, recognition, charset: list[str]) -> list[dict]:
     found = []
-    for box in pixels.text_boxes(detection(pixels.detection_tensor(image)), *image.shape[:2]):
-        crop = pixels.crop_box(image, box["coordinate"])
-        text, score = ("", 0.0) if crop is None else pixels.decode_steps(recognition(pixels.recognition_tensor(crop)), charset)
+    for box in text_boxes(detection(detection_tensor(image)), *image.shape[:2]):
+        crop = crop_box(image, box["coordinate"])
+        text, score = ("", 0.0) if crop is None else decode_steps(recognition(recognition_tensor(crop)), charset)
         found.append({"score": box["score"], "corners": [{"x": x, "y": y} for x, y in box["coordinate"]], "text": text, "text_score": score})
     return found
 
@@ -92,11 +95,11 @@ def documents(inferred: DataFrame, search: str) -> DataFrame:
 
 
 def _match_array(texts, search: str):
-    needle = T.normalize_value(search)
+    needle = normalize_value(search)
 
     @F.pandas_udf("array<boolean>")
     def match(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else [bool(t) and search != "" and needle in T.normalize_value(t) for t in v])
+        return values.map(lambda v: None if v is None else [bool(t) and search != "" and needle in normalize_value(t) for t in v])
 
     return match(texts)
 
@@ -107,6 +110,7 @@ def extract(images: DataFrame, models: Models, search: str, output: str | None =
     out = done.select("path", "unique_id", "error", results.result_json(F.col("document")).alias("json"))
     out = out.withColumn("response", F.when(F.col("error").isNull(), results.envelope(F.col("json"))).otherwise(results.error_document(F.col("error"))))
     if output:
+        out = materialize(out, "extracted")  # models run once, for the files and the rows
         write_results(out.where("error IS NULL"), output)
     return out
 

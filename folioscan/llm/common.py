@@ -47,3 +47,13 @@ def group_in_two_levels(rows: DataFrame, keys: list[str], id_col: str, salts: in
 
 def empty_if_null(name: str | Column) -> Column:
     return F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
+
+
+def null_safe_key(name: str) -> Column:
+    """An id as text with a mark for null, so that plain equality joins and windows treat nulls as one key."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("null"))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct `_row`: names of helper columns can't clash with them, and `_row.*` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import empty_if_null, group_in_two_levels, salt_count
+from .common import empty_if_null, group_in_two_levels, null_safe_key, salt_count
 
 CHUNK = 1 << 20
 #: Payloads from this many bytes on are stored once and referred to.
@@ -94,12 +94,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
     A payload longer than a chunk becomes segments of one chunk each, so no record is put together in memory.
     """
     plan = plan_records(pages, id_col, payload_col, min_bytes)
-    l = pages.select(F.col(id_col).alias("page_id"), F.col(uri_col).alias("uri"), F.col(payload_col).alias("payload")).withColumn("digest", sha1_base32(F.col("payload"))).alias("l")
-    # Repeated (page_id, payload) rows share a line of the plan: the first of them is the response, if any is.
-    copies = plan.groupBy("page_id", "digest").agg(F.min("record_type").alias("record_type"), F.max("refers_to").alias("refers_to"), F.first("payload_bytes").alias("payload_bytes"))
-    r = copies.alias("r")
-    rows = l.join(r, F.col("l.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("l.digest") == F.col("r.digest"))).select("l.*", "r.record_type", "r.refers_to")
-    nth = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("page_id"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(uri_col).alias("uri"), F.col(payload_col).alias("payload")).withColumn("digest", sha1_base32(F.col("payload")))
+    # Repeated (page_id, payload) rows share a line of the plan: the first of them is the response, if any is. One key
+    # column with plain equality lets the join and the numbering use one exchange of the payloads.
+    keyed = lambda rows: rows.withColumn("_key", null_safe_key("page_id"))
+    copies = keyed(plan).groupBy("_key", "digest").agg(F.min("record_type").alias("record_type"), F.max("refers_to").alias("refers_to"))
+    rows = keyed(rows).join(copies.hint("merge"), ["_key", "digest"])
+    nth = F.row_number().over(Window.partitionBy("_key", "digest").orderBy("_key"))
     again = (F.col("_nth") > 1) & (F.col("record_type") == "response") & (F.octet_length("payload") >= min_bytes)
     rows = rows.withColumn("_nth", nth).withColumn("refers_to", F.when(again, F.col("page_id")).otherwise(F.col("refers_to"))).withColumn("record_type", F.when(again, "revisit").otherwise(F.col("record_type")))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import group_in_two_levels, salt_count
+from .common import group_in_two_levels, salt_count, whole_row
 from .graph import connected_components
 
 SHINGLE = 5
@@ -258,9 +258,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of rows that repeat a doc_id the first stays; rows with a null doc_id all stay.
     """
-    own = docs.columns
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.withColumn("_id", F.col(id_col).cast("long"))
+    rows = docs.select(whole_row(docs), F.col(id_col).cast("long").alias("_id"))
     named = rows.join(kept.hint("merge"), "_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("_id").orderBy("_id"))
-    return named.withColumn("_rn", first).where("_rn = 1").select(*own).union(rows.where("_id IS NULL").select(*own))
+    return named.withColumn("_rn", first).where("_rn = 1").select("_row.*").union(rows.where("_id IS NULL").select("_row.*"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACE, empty_if_null, group_in_two_levels, salt_count
+from .common import SPACE, empty_if_null, group_in_two_levels, null_safe_key, salt_count, whole_row
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,10 +31,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with their own columns."""
-    own = docs.columns
-    kept = exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept = exact_dedup(docs, id_col, text_col, salts).where("kept").select(null_safe_key("doc_id").alias("_key"), F.col("text_sha256").alias("_sha"))
     sha = F.sha2(F.regexp_replace(empty_if_null(text_col), SPACE, " ").cast("binary"), 256)
-    rows = docs.withColumn("_sha", sha).withColumn("_id", F.col(id_col))
-    held = rows.alias("l").join(kept.alias("r"), F.col("l._id").eqNullSafe(F.col("r._id")) & (F.col("l._sha") == F.col("r._sha")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("_id"))
-    return held.withColumn("_rn", first).where("_rn = 1").select(*own)
+    rows = docs.select(whole_row(docs), sha.alias("_sha"), null_safe_key(id_col).alias("_key"))
+    held = rows.join(kept.hint("merge"), ["_key", "_sha"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_key", "_sha").orderBy("_key"))
+    return held.withColumn("_rn", first).where("_rn = 1").select("_row.*")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import whole_row
 
 #: Labelled documents used for fitting, at most (those with the smallest hashed ids).
 MAX_TRAIN = 20_000
@@ -140,7 +141,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN,
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     # At most max_rows rows of two numbers: small enough to broadcast at any input size.
-    return docs.join(F.broadcast(known), F.col(id_col) == F.col("_id")).select(F.col("_id").alias("id"), F.col(text_col).alias("text"), "label")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(known), F.col("id") == F.col("_id")).select("id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, **columns) -> Model:
@@ -214,7 +216,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose score stays below the threshold, with their own columns; nothing is shuffled."""
-    own = docs.columns
 
     @F.pandas_udf("double")
     def score_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -226,4 +227,4 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
                 found += (-np.expm1(-model.log_clean(x, model.sentence_logits(x)))).tolist()
             yield pd.Series(found, index=texts.index, dtype="float64")
 
-    return docs.withColumn("_score", score_of(F.col(text_col))).where(F.col("_score") < threshold).select(*own)
+    return docs.select(whole_row(docs), score_of(F.col(text_col)).alias("_score")).where(F.col("_score") < threshold).select("_row.*")

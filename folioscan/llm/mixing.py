@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..session import materialize
-from .common import WORD, empty_if_null, salt_count
+from .common import WORD, empty_if_null, null_safe_key, salt_count, whole_row
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -134,10 +134,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     plan = materialize(plan, "mix-plan")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counted.select("source", "size", "_part", before.alias("_before"))
-    c, p = starts.alias("c"), plan.alias("p")
+    # Their sizes follow the data, so both sides of these joins are shuffled, not broadcast.
+    c, p = starts.alias("c"), plan.hint("merge").alias("p")
     starts = c.join(p, F.col("c.source").eqNullSafe(F.col("p.source")) & (F.col("c.size") == F.col("p.size"))).select("c.source", "c.size", "c._part", "_before", "source_size", "target", "rounds", "more")
     rank = F.row_number().over(Window.partitionBy("source", "size", "_part").orderBy("_h", "doc_id"))
-    r, s = rows.withColumn("_rank", rank).alias("r"), starts.alias("s")
+    r, s = rows.withColumn("_rank", rank).alias("r"), starts.hint("merge").alias("s")
     out = r.join(s, F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.size") == F.col("s.size")) & (F.col("r._part") == F.col("s._part")))
     copies = F.col("rounds") + (F.col("_before") + F.col("_rank") <= F.col("more")).cast("long")
     return out.select(F.col("r.doc_id").alias("doc_id"), F.col("r.size").alias("size"), "source_size", "target", (copies * F.col("r.size")).alias("taken"), copies.alias("copies"))
@@ -148,13 +149,11 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat an id are matched to its results in any order: they agree in source and hash.
     """
-    own = docs.columns
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     chosen = mix(docs, **options).where("copies > 0")
-    chosen = chosen.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    sized = docs.withColumn("_size", F.regexp_count(empty_if_null(text_col), F.lit(WORD)).cast("long")).withColumn("_id", F.col(id_col))
-    l, r = sized.alias("l"), chosen.alias("r")
-    joined = l.join(r, F.col("l._id").eqNullSafe(F.col("r._id")) & (F.col("l._size") == F.col("r._size"))).select("l.*", "r._copies")
-    nth = F.row_number().over(Window.partitionBy("_id", "_size").orderBy("_id"))
+    chosen = chosen.groupBy(null_safe_key("doc_id").alias("_key"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
+    sized = docs.select(whole_row(docs), F.regexp_count(empty_if_null(text_col), F.lit(WORD)).cast("long").alias("_size"), null_safe_key(id_col).alias("_key"))
+    joined = sized.join(chosen.hint("merge"), ["_key", "_size"])
+    nth = F.row_number().over(Window.partitionBy("_key", "_size").orderBy("_key"))
     taken = joined.withColumn("_nth", nth).withColumn("_k", F.try_element_at("_copies", F.col("_nth").cast("int"))).where("_k > 0")
-    return taken.select(*own, F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))).alias("_copy")).select(*own)
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))).alias("_copy")).select("_row.*")

@@ -57,11 +57,12 @@ def _record(kind: bytes, fields: list[tuple[bytes, bytes]], block: bytes) -> byt
     return b"%b\r\n%b\r\n%b\r\n\r" % (VERSION, head, block)
 
 
-def _urn(page_id, at: int) -> bytes:
-    return b"<urn:page:%b:%d>" % (str(page_id).encode(), at)
+def _urn(page_id, digest: str, nth: int, at: int) -> bytes:
+    """Record id: page, payload, which of repeated rows, segment."""
+    return f"<urn:page:{page_id}:{digest}:{nth}:{at}>".encode()
 
 
-def record_chunks(page_id, uri: str | None, payload, digest: str, kind: str, refers_to, chunk: int = CHUNK) -> Iterator[bytes]:
+def record_chunks(page_id, uri: str | None, payload, digest: str, kind: str, refers_to, nth: int = 1, chunk: int = CHUNK) -> Iterator[bytes]:
     """The WARC records of one page, each at most `chunk` payload bytes: the first whole or segment 1, then continuations.
 
     The final line feed of each is left to the line separator of the writer.
@@ -69,20 +70,20 @@ def record_chunks(page_id, uri: str | None, payload, digest: str, kind: str, ref
     total = len(payload)
     fields = [(b"WARC-Target-URI", b"".join((uri or "").encode().split())), (b"WARC-Date", b"1970-01-01T00:00:00Z"), (b"WARC-Payload-Digest", b"sha1:" + digest.encode())]
     if kind == "revisit":
-        more = [(b"WARC-Profile", REVISIT_PROFILE), (b"WARC-Refers-To", _urn(refers_to, 1)), (b"WARC-Payload-Length", b"%d" % total)]
-        yield _record(b"revisit", [(b"WARC-Record-ID", _urn(page_id, 1)), *fields, *more], b"")
+        more = [(b"WARC-Profile", REVISIT_PROFILE), (b"WARC-Refers-To", _urn(refers_to, digest, 1, 1)), (b"WARC-Payload-Length", b"%d" % total)]
+        yield _record(b"revisit", [(b"WARC-Record-ID", _urn(page_id, digest, nth, 1)), *fields, *more], b"")
         return
     head = HTTP_HEAD % total
     pieces = max(1, -(-total // chunk))
     for k in range(pieces):
         block = bytes(payload[k * chunk : (k + 1) * chunk])
-        own = [(b"WARC-Record-ID", _urn(page_id, k + 1))]
+        own = [(b"WARC-Record-ID", _urn(page_id, digest, nth, k + 1))]
         if pieces > 1:
             own.append((b"WARC-Segment-Number", b"%d" % (k + 1)))
         if k == 0:
             yield _record(b"response", [*own, *fields, (b"Content-Type", RESPONSE_TYPE)], head + block)
         else:
-            own.append((b"WARC-Segment-Origin-ID", _urn(page_id, 1)))
+            own.append((b"WARC-Segment-Origin-ID", _urn(page_id, digest, nth, 1)))
             if k == pieces - 1:
                 own.append((b"WARC-Segment-Total-Length", b"%d" % (len(head) + total)))
             yield _record(b"continuation", [*own, *fields], block)
@@ -107,10 +108,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
-            columns = [batch.column(c) for c in ("page_id", "uri", "payload", "digest", "record_type", "refers_to")]
-            for page_id, uri, payload, digest, kind, refers_to in zip(*columns):
+            columns = [batch.column(c) for c in ("page_id", "uri", "payload", "digest", "record_type", "refers_to", "_nth")]
+            for page_id, uri, payload, digest, kind, refers_to, nth in zip(*columns):
                 view = memoryview(payload.as_buffer())
-                for record in record_chunks(page_id.as_py(), uri.as_py(), view, digest.as_py(), kind.as_py(), refers_to.as_py(), chunk):
+                for record in record_chunks(page_id.as_py(), uri.as_py(), view, digest.as_py(), kind.as_py(), refers_to.as_py(), nth.as_py(), chunk):
                     held.append(record)
                     size += len(record)
                     if size >= 8 * CHUNK:
@@ -118,7 +119,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
                         held, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
 
-    blocks = rows.select("page_id", "uri", "payload", "digest", "record_type", "refers_to").mapInArrow(run, "value binary")
+    blocks = rows.select("page_id", "uri", "payload", "digest", "record_type", "refers_to", "_nth").mapInArrow(run, "value binary")
     # The text writer puts bytes as they are; the separator ends the record's own CR LF CR LF.
     blocks.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 

@@ -30,15 +30,19 @@ _U = np.uint64
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result depends on every bit of x."""
     x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(32)
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(32)
+    return x
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     """Uniform numbers in (0, 1] from hashes."""
-    return ((x >> _U(11)) + _U(1)).astype(np.float64) * 2.0**-53
+    y = (x >> _U(11)).astype(np.float64)
+    y += 1
+    y *= 2.0**-53
+    return y
 
 
 def _step(n: int, odd: int) -> np.uint64:
@@ -51,25 +55,28 @@ def darts(key: np.ndarray, weight: np.ndarray, doc: np.ndarray, reach: np.ndarra
     Every element throws the same hashed darts at a plane of weight and rank, in every document: a Poisson process
     of rate one, dealt with by dyadic weight regions [0, 1), [1, 2), [2, 4) and so on. A dart counts for a document if it
     lies below the element's weight there and its rank is below the document's reach; it falls on one coordinate. Only darts
-    within reach are made, so the work is about reach times total weight, whatever the number of elements.
+    within reach are made, so the work is about reach times total weight, whatever the number of elements. The rank
+    uses a throw's upper 53 bits; where the eleven others can hold a coordinate, they give it.
     """
     best = np.full(n_docs * k, np.inf)
     level, low, width = 0, 0.0, 1.0
+    spare = k <= 2048 and k & (k - 1) == 0
     seeds = mix(key)
     while len(seeds):
         region = mix(seeds + _step(level, 0x9E3779B97F4A7C15))
-        w, d, far = weight, doc, reach[doc]
+        partly = level > 0 or bool((weight < 1).any())
+        w, first, far = weight, doc * k, reach[doc]
         rank, step = np.zeros(len(region)), 0
         while len(region):
             throw = mix(region + _step(step + 1, 0xC2B2AE3D27D4EB4F))
             rank = rank - np.log(unit(throw)) / width
-            near = rank < far
-            if not near.all():
-                region, throw, rank, w, d, far = region[near], throw[near], rank[near], w[near], d[near], far[near]
-            throw = mix(throw)
-            coordinate = d * k + (throw % _U(k)).astype(np.int64)
-            if level or (w < 1).any():
-                hit = low + unit(mix(throw)) * width < w
+            near = np.flatnonzero(rank < far)
+            if len(near) < len(region):
+                region, throw, rank, first, far = (x.take(near) for x in (region, throw, rank, first, far))
+                w = w.take(near) if partly else w
+            coordinate = first + ((throw & _U(k - 1)) if spare else (mix(throw) % _U(k))).astype(np.int64)
+            if partly:
+                hit = low + unit(mix(throw + _U(1))) * width < w
                 np.minimum.at(best, coordinate[hit], rank[hit])
             else:
                 np.minimum.at(best, coordinate, rank)

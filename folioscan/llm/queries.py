@@ -11,7 +11,7 @@ from .dart_minhash import near_duplicates
 from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .licenses import license_report
-from .line_dedup import line_report
+from .line_dedup import SHARE, line_report
 from .mixing import mix
 from .packing import pack
 from .toxicity import score, train
@@ -38,7 +38,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents"), share=SHARE)
 
 
 def op5_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -445,6 +445,35 @@ def test_lines(spark, empty):
     assert line_report(empty).count() == 0
 
 
+def test_lines_with_growing_edits(spark):
+    from folioscan.llm.line_dedup import SHARE, edits, line_classes, shared_run, within
+
+    assert [edits(n, 2, 0.05) for n in (9, 10, 23, 24, 59, 60, 200)] == [0, 1, 1, 2, 2, 3, 10] and edits(23) == 0 and edits(500) == 2
+    assert shared_run(2, 0.05) == min(-(-(n - n // 20) // (n // 20 + 1)) for n in range(60, 5000))
+    rng = random.Random(4)
+    rows, no = [], 0
+    for n in (1, 2, 3, 4, 6, 9, 13, 20, 32, 60, 200):
+        for _ in range(4):
+            base = words(n, rng.randrange(10**6)) + "!" * rng.randrange(9)
+            for most in (0, 0.4, 0.9, 1.0, 1.0, 1.3):
+                # Edits spread evenly leave the shortest runs.
+                b, e = list(base), round(most * edits(len(base), 2, SHARE))
+                for i in range(e, 0, -1):
+                    at = i * len(base) // (e + 1)
+                    b[at : at + rng.randrange(2)] = rng.choice(["", "z", "ü"])
+                rows.append((no := no + 1, "".join(b), "s"))
+    rows.append((no + 1, rows[-1][1][:600] + " one two three four five " + rows[-1][1][600:], "s"))
+    first = {}
+    for i, t, _ in rows:
+        first.setdefault(t, i)
+    held = list(first)
+    links = [(first[a], first[b]) for m, a in enumerate(held) for b in held[:m] if (e := edits(min(len(a), len(b)), 2, SHARE)) and within(a, b, e) <= e]
+    want = _components(list(first.values()), links)
+    assert sum(len(t) > 60 and want[i] != i for t, i in first.items()) > 50
+    got = {r.doc_id: r.keep_doc_id for r in line_classes(make(spark, rows), share=SHARE).collect()}
+    assert got == {i: want[first[t]] for i, t, _ in rows}
+
+
 def test_audio(spark):
     import io
     import wave

@@ -165,10 +165,10 @@ def parse(source: str) -> Node:
 class Shape:
     """A tree for matching: labels, children and texts in preorder; runs of siblings alike are one node."""
 
-    __slots__ = ("key", "labels", "children", "paths", "texts")
+    __slots__ = ("key", "labels", "children", "paths", "texts", "nodes")
 
     def __init__(self, root: Node):
-        self.labels, self.children, self.paths, self.texts = [], [], [], []
+        self.labels, self.children, self.paths, self.texts, self.nodes = [], [], [], [], []
         self.key = self._add(root, 0)
 
     def _add(self, node: Node, path: int) -> str:
@@ -178,6 +178,7 @@ class Shape:
         self.children.append([])
         self.paths.append(path)
         self.texts.append(node.text())
+        self.nodes.append([node])
         keys: list[str] = []
         for child in node.children:
             at = len(self.labels)
@@ -187,7 +188,8 @@ class Shape:
                 first = self.children[me][-1]
                 for j in range(len(self.labels) - at):
                     self.texts[first + j] += "\n" + self.texts[at + j]
-                del self.labels[at:], self.children[at:], self.paths[at:], self.texts[at:]
+                    self.nodes[first + j] += self.nodes[at + j]
+                del self.labels[at:], self.children[at:], self.paths[at:], self.texts[at:], self.nodes[at:]
             else:
                 keys.append(key)
                 self.children[me].append(at)
@@ -220,11 +222,19 @@ class HostTemplate:
     def __init__(self, shape: Shape):
         self.shape, self.seen = shape, [0] * len(shape.labels)
         self.texts: list[dict[int, list]] = [{} for _ in shape.labels]
+        self.paths, self.places = [*shape.paths], {}  # nodes without a mate have a place for each path, after the shape's
 
     def add(self, slots: list[tuple[int, int, int]], mate: dict[int, int], page: int) -> None:
-        for i, _, text in slots:
-            if i in mate:
-                self._count(mate[i], text, page)
+        for i, path, text in slots:
+            at = mate.get(i)
+            if at is None:
+                if path not in self.places:
+                    self.places[path] = len(self.paths)
+                    self.paths.append(path)
+                    self.seen.append(0)
+                    self.texts.append({})
+                at = self.places[path]
+            self._count(at, text, page)
 
     def _count(self, at: int, text: int, page: int) -> None:
         self.seen[at] += 1
@@ -245,9 +255,9 @@ class HostTemplate:
         """(slot, pages, text, count, witnesses); a row without text counts the pages alone."""
         for i, n in enumerate(self.seen):
             if n:
-                yield self.shape.paths[i], n, None, 0, []
+                yield self.paths[i], n, None, 0, []
                 for text, (count, pages) in self.texts[i].items():
-                    yield self.shape.paths[i], 0, text, count, sorted(pages)
+                    yield self.paths[i], 0, text, count, sorted(pages)
 
 
 VOTES = "host string, slot long, pages long, text long, n long, witnesses array<long>"
@@ -273,7 +283,8 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = 0
     for batch in batches:
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            shape = Shape(parse(source))
+            root = parse(source)
+            shape = Shape(root)
             slots, page = shape.slots(), xxhash.xxh64_intdigest(source.encode("utf-8", "replace"))
             held, best = templates.setdefault(host, []), None
             for t in held:
@@ -316,32 +327,36 @@ def _has_part(node: Node) -> bool:
     return node.tag in PART or any(_has_part(c) for c in node.children)
 
 
-def main_text(source: str, constant: set[tuple[int, int]] = frozenset()) -> str:
-    """Blocks of the articles (else of main, else of the body) joined by blank lines, without what names, elements
-    or the host's template (constant (slot, text) pairs) mark as not being main text."""
-    root = parse(source)
-    fixed: set[int] = set()
-    if constant:
-        shape = Shape(root)
-        fixed = {p for _, p, t in shape.slots() if (_signed(p), _signed(t)) in constant}
+def _left(root: Node, fixed: set[int] = frozenset()) -> str:
+    """Blocks of the articles (else of main, else of the body) without the own texts of the nodes in fixed (by id())."""
     parts: dict[str, list[str]] = {"article": [], "main": [], "": []}
 
-    def walk(node: Node, path: int, kind: str) -> None:
-        path = xxhash.xxh64_intdigest(f"{path} {node.label}") if fixed else 0
+    def walk(node: Node, kind: str) -> None:
         if node.out and not (kind == "" and _has_part(node)):
             return
         kind = "article" if node.tag == "article" or kind == "article" else "main" if node.tag == "main" else kind
         inner_only = node.out
         for p in node.parts:
             if isinstance(p, Node):
-                walk(p, path, kind)
-            elif path not in fixed and not inner_only:
+                walk(p, kind)
+            elif not inner_only and id(node) not in fixed:
                 parts[kind].append(p)
 
-    walk(root, 0, "")
+    walk(root, "")
     return "\n\n".join(parts["article"] or parts["main"] or parts[""])
 
 
+def main_text(source: str, constant: set[tuple[int, int]] = frozenset()) -> str:
+    """Blocks of the articles (else of main, else of the body) joined by blank lines, without what names, elements
+    or the host's template mark as not being main text: nodes whose own (slot, text) pair is constant."""
+    root = parse(source)
+    fixed: set[int] = set()
+    if constant:
+        shape = Shape(root)
+        fixed = {id(n) for i, p, t in shape.slots() if (_signed(p), _signed(t)) in constant for n in shape.nodes[i]}
+    return _left(root, fixed)
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 

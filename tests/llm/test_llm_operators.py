@@ -313,6 +313,19 @@ def test_html(spark):
     assert html.unescape("&amp;") == "&"
 
 
+def test_html_siblings_of_one_path(spark):
+    """Real paragraphs at the path of a constant one stay, whichever page the task sees first."""
+    from folioscan.llm.html_extract import extract
+
+    rows = [(i, f"<article><h1>t{i}</h1><p>By staff.</p></article>" if i % 7 == 0 else f"<article><h1>t{i}</h1><p>By staff.</p><h2>s</h2><p>real {i}</p></article>") for i in range(28)]
+    # Most pages have the constant one only: it is constant, the others at its path are not.
+    rows += [(100 + i, f"<article><h1>u{i}</h1><p>By staff.</p></article>") for i in range(120)]
+    for n in (1, 3):
+        got = {r.page_id: r.text for r in extract(spark.createDataFrame([(i, "http://a.b/", h) for i, h in rows], "page_id long, url string, html string").coalesce(n)).collect()}
+        assert all(f"real {i}" in got[i] for i in range(28) if i % 7)
+        assert not any("By staff." in t for t in got.values())
+
+
 def _jaccard(a, b):
     return sum((a & b).values()) / max(1, sum((a | b).values()))
 

@@ -285,7 +285,8 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             root = parse(source)
             shape = Shape(root)
-            slots, page = shape.slots(), xxhash.xxh64_intdigest(source.encode("utf-8", "replace"))
+            # Pages are different if their main texts are: copies of one article that differ around it are one page.
+            slots, page = shape.slots(), xxhash.xxh64_intdigest(_left(root).encode("utf-8", "replace"))
             held, best = templates.setdefault(host, []), None
             for t in held:
                 key = (t.shape.key, shape.key)
@@ -330,6 +331,7 @@ def _has_part(node: Node) -> bool:
 def _left(root: Node, fixed: set[int] = frozenset()) -> str:
     """Blocks of the articles (else of main, else of the body) without the own texts of the nodes in fixed (by id())."""
     parts: dict[str, list[str]] = {"article": [], "main": [], "": []}
+    whole: dict[str, list[str]] = {"article": [], "main": [], "": []}
 
     def walk(node: Node, kind: str) -> None:
         if node.out and not (kind == "" and _has_part(node)):
@@ -339,16 +341,22 @@ def _left(root: Node, fixed: set[int] = frozenset()) -> str:
         for p in node.parts:
             if isinstance(p, Node):
                 walk(p, kind)
-            elif not inner_only and id(node) not in fixed:
-                parts[kind].append(p)
+            elif not inner_only:
+                whole[kind].append(p)
+                if id(node) not in fixed:
+                    parts[kind].append(p)
 
     walk(root, "")
-    return "\n\n".join(parts["article"] or parts["main"] or parts[""])
+    for kind in ("article", "main"):
+        if parts[kind] or whole[kind]:
+            return "\n\n".join(parts[kind] or whole[kind])
+    return "\n\n".join(parts[""])
 
 
 def main_text(source: str, constant: set[tuple[int, int]] = frozenset()) -> str:
     """Blocks of the articles (else of main, else of the body) joined by blank lines, without what names, elements
-    or the host's template mark as not being main text: nodes whose own (slot, text) pair is constant."""
+    or the host's template mark as not being main text: nodes whose own (slot, text) pair is constant. An article or
+    main that the template would empty stays whole."""
     root = parse(source)
     fixed: set[int] = set()
     if constant:

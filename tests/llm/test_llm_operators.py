@@ -326,6 +326,16 @@ def test_html_siblings_of_one_path(spark):
         assert not any("By staff." in t for t in got.values())
 
 
+def test_html_copies_of_one_article(spark):
+    from folioscan.llm.html_extract import extract, main_text
+
+    page = "<body><div class=top>{0}</div><article><h1>Same title</h1><p>Same text</p><!-- {1} --><div class=ad>buy {1}</div></article></body>"
+    rows = [(i, "http://a.b/", page.format("x", i)) for i in range(40)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.text for r in got} == {"Same title\n\nSame text"}
+    assert main_text("<article><p>a</p></article><p>b</p>") == "a"
+
+
 def _jaccard(a, b):
     return sum((a & b).values()) / max(1, sum((a | b).values()))
 

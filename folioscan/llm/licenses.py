@@ -45,6 +45,19 @@ NOTICES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    # Short forms that name the licence only.
+    ("apache-2.0", "apache license version 2 0"),
+    ("apache-2.0", "under the apache license"),
+    ("apache-2.0", "under apache 2 0"),
+    ("mit", "under the mit license"),
+    ("mit", "under an mit license"),
+    ("mit", "under mit license"),
+    ("bsd", "under the bsd license"),
+    ("bsd", "under a bsd license"),
+    ("mpl-2.0", "mozilla public license version 2 0"),
+    ("mpl-2.0", "mozilla public license 2 0"),
+    ("isc", "under the isc license"),
+    ("unlicense", "under the unlicense"),
 ]
 
 # K-grams of these words alone are too common to vote.

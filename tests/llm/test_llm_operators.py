@@ -280,6 +280,20 @@ def test_licenses(spark, docs, empty):
     assert license_report(empty).count() == 0
 
 
+def test_license_lines(spark):
+    from folioscan.llm.licenses import license_report
+
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0", "All rights reserved.": "reserved", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Licensed under the MIT license": "mit", "under the Apache License": "apache-2.0",
+        "Mozilla Public License, version 2.0": "mpl-2.0", "Released under the BSD license": "bsd", "under the ISC License": "isc", "the license of MIT under review": "", "apache helicopter license": "",
+    }
+    rows = make(spark, [(i, f"Some words before. {x} Some words after.", "s") for i, x in enumerate(lines)])
+    got = {r.doc_id: r for r in license_report(rows).collect()}
+    assert [got[i].labels for i in range(len(lines))] == list(lines.values())
+    assert all((got[i].score == 1) == bool(x) for i, x in enumerate(lines.values()))
+
+
 PAGE = """<!doctype html><html><head><title>t</title><script>x="<p>no</p>"</script></head><body class="has-sidebar"><header><h1>Site</h1></header>
 <nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice">Cookies</div><aside>side</aside>
 <article><header><h1>{title} &amp; more</h1></header><p>First&nbsp;{body}

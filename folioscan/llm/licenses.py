@@ -146,7 +146,8 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, k: int = K, i
 
     Every word k-gram of every whole text is joined to the template positions (a fixed list, broadcast). Hits are
     counted by diagonal (word position less template position), diagonals up to NEIGHBOUR apart merge, and the merged
-    span stands if its words hold enough of the template's k-grams without too many words between. A base template
+    span stands if its words hold enough of the template's k-grams without too many words between; else its fullest diagonal
+    stands if it holds enough. A base template
     stands where all its grams lie on one diagonal, so its words stand consecutively. uid numbers rows, so repeated ids
     stay apart; null text has no words; an empty table gives no rows; other columns are not read.
     """
@@ -171,9 +172,16 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, k: int = K, i
         F.min("diagonal").alias("start"),
         (F.max("hi") - F.min("lo") + k).alias("n_span"),
         (F.size(F.array_distinct(F.flatten(F.collect_list("ats")))) / F.col("n_grams")).alias("cover"),
+        F.max(F.struct(F.size("ats").alias("n"), (-F.col("diagonal")).alias("back"), (F.col("hi") - F.col("lo") + k).alias("n_span"))).alias("one"),
     )
     whole = F.col("base") | (F.col("n_template") <= SHORT)
-    good = (F.col("cover") >= F.when(whole, 1.0).otherwise(MIN_COVER)) & (F.col("n_span") <= F.col("n_template") * F.when(whole, 1.0).otherwise(MAX_STRETCH))
+    enough = F.when(whole, 1.0).otherwise(MIN_COVER)
+    good = (F.col("cover") >= enough) & (F.col("n_span") <= F.col("n_template") * F.when(whole, 1.0).otherwise(MAX_STRETCH))
+    # Where the chain doesn't stand, its fullest diagonal may: no words lie between there.
+    alone = ~good & (F.col("one.n") / F.col("n_grams") >= enough) & (F.col("template") >= 0)
+    own = {"start": -F.col("one.back"), "n_span": F.col("one.n_span"), "cover": F.col("one.n") / F.col("n_grams")}
+    spans = spans.withColumn("_good", good | alone).withColumns({c: F.when(alone, x).otherwise(F.col(c)) for c, x in own.items()})
+    good = F.col("_good")
     return spans.where((F.col("template") == -1) | good).select("uid", "doc_id", "n_words", "template", "start", "n_span", "cover")
 
 

@@ -294,6 +294,15 @@ def test_license_lines(spark):
     assert all((got[i].score == 1) == bool(x) for i, x in enumerate(lines.values()))
 
 
+def test_license_beside_a_part_of_itself(spark):
+    from folioscan.llm.licenses import license_report, scan
+
+    rows = make(spark, [(1, "Licensed under CC BY-NC (CC BY-NC 4.0)", "s"), (2, "CC BY: licensed under CC BY NC", "s"), (3, "licensed under CC x BY x NC", "s")])
+    got = {r.doc_id: r.labels for r in license_report(rows).collect()}
+    assert got == {1: "cc-by,cc-by-nc", 2: "cc-by,cc-by-nc", 3: ""}
+    assert {(r.doc_id, r.start, r.n_span, r.cover) for r in scan(rows).where("n_span = 5").collect()} == {(1, 0, 5, 1.0), (2, 2, 5, 1.0)}
+
+
 PAGE = """<!doctype html><html><head><title>t</title><script>x="<p>no</p>"</script></head><body class="has-sidebar"><header><h1>Site</h1></header>
 <nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice">Cookies</div><aside>side</aside>
 <article><header><h1>{title} &amp; more</h1></header><p>First&nbsp;{body}

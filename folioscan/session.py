@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch that goes to a Python worker while an intermediate table is written; Spark's own default is 64 MB.
+BATCH_BYTES = 4 << 20
+
 
 def build_session(app: str = "folioscan", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     """A session with UTC time and adaptive execution; everything else is left to the cluster."""
@@ -19,10 +26,12 @@ def build_session(app: str = "folioscan", master: str | None = None, conf: dict[
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a local one where that is unset (tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`, or a local one where that is unset and the session is local (tests)."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="folioscan-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -45,3 +54,45 @@ def remove_path(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within this, plans send batches of BATCH_BYTES at most to Python, so that wide rows don't fill a worker; then as before."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+class Scratch:
+    """Intermediate tables of one run, each written once to the shared folder: cuts lineage and survives lost executors.
+
+    A table is deleted with `drop` when its last reader has been written; what a returned DataFrame still reads stays.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base = spark, fresh_path(spark, name)
+        self.held: list[tuple[DataFrame, str]] = []
+        self.written = 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.base}/{self.written}-{name}"
+        self.written += 1
+        with small_batches(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df, path in [x for x in self.held if any(x[0] is t for t in tables)]:
+            remove_path(self.spark, path)
+        self.held = [x for x in self.held if not any(x[0] is t for t in tables)]
+
+    def drop_all(self) -> None:
+        remove_path(self.spark, self.base)
+        self.held = []

@@ -41,10 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def literal_rows(spark: SparkSession, sql: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {sql}")
-
-
 MATCH_SQL = r"""text <> '' AND contains(replace(replace(lower(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 'ß', 'ss'), ' ', ''), 'onthe')"""
 
 
@@ -210,10 +206,12 @@ def ctc_decode(spark, sf_dir):
     return B.decode_characters(rows, "m", CHARSET).select("vec_id", "text", F.round("text_score", 6).alias("score"))
 
 
+IMAGE_SQL = f"""i AS (SELECT 'image-' || (doc_id // 20) AS unique_id, doc_id, text, n_chars, coalesce({MATCH_SQL}, false) AS hit,
+    row_number() OVER (PARTITION BY doc_id // 20 ORDER BY n_chars, doc_id)::INT AS id, round_even(n_chars / 2.0::DOUBLE, 0)::INT AS x, (doc_id % 100)::INT AS y FROM documents)"""
+
+
 @query(
-    f"""WITH i AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS id, n_chars FROM documents),
-    t AS (SELECT source, count(*) AS n_items, count(*) FILTER (WHERE {MATCH_SQL}) AS n_match, sum(id * round_even(n_chars / 2.0::DOUBLE, 0)::BIGINT)::BIGINT AS x_sum FROM i GROUP BY source)
-    SELECT source AS unique_id, n_items, n_match, x_sum FROM t"""
+    f"""WITH {IMAGE_SQL} SELECT unique_id, count(*) AS n_items, count(*) FILTER (WHERE hit) AS n_match, sum(id::BIGINT * x)::BIGINT AS x_sum FROM i GROUP BY unique_id"""
 )
 def result_json_summary(spark, sf_dir):
     parsed = result_json(spark, sf_dir).select("unique_id", F.from_json("json", f"uniqueId string, layoutList {RE.LAYOUT_TYPE}, itemList {RE.ITEM_TYPE}").alias("d"))
@@ -226,16 +224,31 @@ def result_json_summary(spark, sf_dir):
     )
 
 
-@query()
-def result_json(spark, sf_dir):
-    """Flagship: documents as recognised items of the image that is their source, matched, ordered, numbered, nested, serialised."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text", "n_chars")
-    items = B.reading_order(docs.withColumn("x", F.col("doc_id")), "source", "n_chars", "x", [])
-    item = B.item_struct(F.col("id"), N.round_even(F.col("n_chars") / 2), (F.col("doc_id") % 100).cast("int"), F.col("text"), T.is_match(F.col("text"), PHRASE))
-    lists = RE.item_list(items.select("source", item.alias("item")), "source")
+def _documents_of_images(spark, sf_dir):
+    """Result documents of images of twenty documents each: a bounded number of items an image, whatever the size of the table."""
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("image"), F.col("doc_id").alias("x"), "text", "n_chars")
+    items = B.reading_order(docs, "image", "n_chars", "x", [])
+    item = B.item_struct(F.col("id"), N.round_even(F.col("n_chars") / 2), (F.col("x") % 100).cast("int"), F.col("text"), T.is_match(F.col("text"), PHRASE))
+    lists = RE.item_list(items.select("image", item.alias("item")), "image")
     layout = F.array(B.layout_struct(F.lit("text"), F.lit(0.9), F.lit(1), F.lit(2)))
-    document = RE.result_document(F.col("source"), layout, F.col("itemList"))
-    return lists.select(F.col("source").alias("unique_id"), RE.result_json(document).alias("json"))
+    unique_id = F.concat(F.lit("image-"), F.col("image").cast("string"))
+    return lists.select(unique_id.alias("unique_id"), RE.result_document(unique_id, layout, F.col("itemList")).alias("document"))
+
+
+LISTS_SQL = """'"layoutList":[{"label":"text","score":0.9,"centerPoint":{"x":1,"y":2}}],"itemList":[' || string_agg('{"id":' || id || ',"centerPoint":{"x":' || x || ',"y":' || y || '},"text":'
+    || to_json(text)::VARCHAR || ',"isMatch":' || hit || '}', ',' ORDER BY id) || ']}'"""
+
+
+@query(f"""WITH {IMAGE_SQL} SELECT unique_id, '{{"uniqueId":"' || unique_id || '",' || {LISTS_SQL} AS json FROM i GROUP BY unique_id""")
+def result_json(spark, sf_dir):
+    """Flagship: documents as recognised items of images, matched, ordered, numbered, nested, serialised."""
+    return _documents_of_images(spark, sf_dir).select("unique_id", RE.result_json(F.col("document")).alias("json"))
+
+
+@query(f"""WITH {IMAGE_SQL} SELECT unique_id, '{{' || {LISTS_SQL} AS json FROM i GROUP BY unique_id""")
+def result_file(spark, sf_dir):
+    """What the images' result files hold."""
+    return _documents_of_images(spark, sf_dir).select("unique_id", RE.file_json(F.col("document")).alias("json"))
 
 
 @query("""SELECT doc_id, '{"response":{"stdout":"' || doc_id || '","stderr":""}}' AS response, '{"error":"' || lang || '"}' AS error FROM documents""")
@@ -303,21 +316,38 @@ def size_limit(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", N.size_allowed(size, F.lit("2")).alias("allowed"), N.size_allowed(size, F.lit("x")).alias("without_limit"))
 
 
-PARTS = """('r1', 0, 'file', 'a.png', X'89504E470D0A1A0A00'), ('r1', 1, 'searchText', NULL, X'6869'),
-    ('r2', 0, 'searchText', NULL, X'6869'), ('r3', 0, 'file', 'b.xyz', X'00'), ('r3', 1, 'file', 'c.pdf', X'25504446'),
-    ('r4', 0, 'file', 'd.html', X'3C703E'), ('r5', 0, 'file', 'e.pdf', X'2550444600'), ('r5', 1, 'file', 'f.png', X'89504E470D0A1A0A'),
-    ('r5', 2, 'searchText', NULL, X'31'), ('r5', 3, 'searchText', NULL, X'32') AS t(request_id, ord, name, file_name, buffer)"""
+#: The marks and the types of the file endings that the uploads below take in turn.
+UPLOAD_KINDS = [("png", b"\x89PNG\r\n\x1a\n"), ("pdf", b"%PDF"), ("xyz", b"???"), ("html", b"<p>")]
+
+
+def _uploads(spark, sf_dir):
+    """Pages as requests: a file part and two search texts each; every seventh has no file, every fifth two."""
+    page = table(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), "html")
+    k = (F.col("request_id") % 4).cast("int")
+    file = lambda ord_, shift: F.struct(
+        F.lit(ord_).alias("ord"),
+        F.when(F.col("request_id") % 7 == 0, "other").otherwise("file").alias("name"),
+        F.concat(F.lit(f"f{ord_}."), F.get(F.array(*[F.lit(e) for e, _ in UPLOAD_KINDS]), (k + shift) % 4)).alias("file_name"),
+        F.concat(F.get(F.array(*[F.lit(m) for _, m in UPLOAD_KINDS]), (k + shift) % 4), F.encode("html", "UTF-8")).alias("buffer"),
+    )
+    text = lambda ord_: F.struct(F.lit(ord_).alias("ord"), F.lit("searchText").alias("name"), F.lit(None).cast("string").alias("file_name"), F.encode(F.concat(F.lit(f"t{ord_}-"), F.col("request_id").cast("string")), "UTF-8").alias("buffer"))
+    parts = F.array(file(0, 0), text(1), text(2), F.when(F.col("request_id") % 5 == 0, file(3, 1)))
+    return page.select("request_id", F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select("request_id", "p.*")
 
 
 @query(
-    """SELECT * FROM (VALUES ('r1', '', 'a.png', 'a.png', 'hi'), ('r2', 'Parameter ''file'' is missing.', NULL, NULL, 'hi'),
-    ('r3', 'Mime type are not allowed.File size exceeds limit.', 'b.xyz', 'c.pdf', NULL), ('r4', '', 'd.html', 'd.html', NULL),
-    ('r5', 'File size exceeds limit.File size exceeds limit.', 'e.pdf', 'f.png', '2')) AS t(request_id, error, stored, processed, search_text)
-    WHERE request_id <> 'r1' UNION ALL SELECT 'r1', 'File size exceeds limit.', 'a.png', 'a.png', 'hi'"""
+    """WITH r AS (SELECT page_id AS request_id, page_id % 7 = 0 AS other, page_id % 5 = 0 AS two, ['png', 'pdf', 'xyz', 'html'][page_id % 4 + 1] AS e0, ['png', 'pdf', 'xyz', 'html'][(page_id + 1) % 4 + 1] AS e3 FROM pages),
+    f AS (SELECT *, CASE e0 WHEN 'xyz' THEN 'Mime type are not allowed.' WHEN 'html' THEN '' ELSE 'File size exceeds limit.' END AS f0,
+        CASE WHEN NOT two THEN '' WHEN e3 = 'xyz' THEN 'Mime type are not allowed.' WHEN e3 = 'html' THEN '' ELSE 'File size exceeds limit.' END AS f3 FROM r)
+    SELECT request_id, CASE WHEN other THEN 'Parameter ''file'' is missing.' ELSE f0 || f3 END AS error, 
+        CASE WHEN other THEN 'Parameter ''file'' is missing.' ELSE replace(f0 || f3, 'File size exceeds limit.', '') END AS error_within_limit,
+        CASE WHEN NOT other THEN 'f0.' || e0 END AS stored, CASE WHEN NOT other THEN CASE WHEN two THEN 'f3.' || e3 ELSE 'f0.' || e0 END END AS processed, 't2-' || request_id AS search_text FROM f"""
 )
 def upload_validation(spark, sf_dir):
-    parts = literal_rows(spark, PARTS)
-    return FI.check_uploads(parts, ALLOWED, "0").join(FI.chosen_parts(parts), "request_id")
+    """Limits of nothing and of a megabyte: files known by their bytes have a size, those known by their ending alone have none."""
+    parts = _uploads(spark, sf_dir)
+    within = FI.check_uploads(parts, ALLOWED, "1").withColumnRenamed("error", "error_within_limit")
+    return FI.check_uploads(parts, ALLOWED, "0").join(within, "request_id").join(FI.chosen_parts(parts), "request_id")
 
 
 @query(r"SELECT page_id, regexp_replace(trim(string_split(url, '/')[-1]), '\.[^/.]+$', '') AS base_name, string_split(url, '/')[-1] AS name FROM pages")
@@ -341,9 +371,12 @@ def unique_id_prefix(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", N.unique_id(millis, F.col("user_id")).alias("id"))
 
 
-@query("SELECT event_id, json_valid(props) AS valid FROM events")
+@query("SELECT event_id, event_id % 4 IN (0, 3) AND json_valid(props) AS valid FROM events")
 def json_check(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", T.is_json(F.col("props")).alias("valid"))
+    """Whole objects, cut ones, ones with a trailing comma, and bare numbers."""
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, F.col("props")).when(k == 1, F.expr("left(props, length(props) - 1)")).when(k == 2, F.concat(F.expr("left(props, length(props) - 1)"), F.lit(",}"))).otherwise(F.col("event_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", T.is_json(text).alias("valid"))
 
 
 @query(r"SELECT doc_id, regexp_replace(chr(27) || '[1;31m' || text || chr(27) || '[0m', chr(27) || '[\[0-9;]*[a-zA-Z]', '', 'g') AS text FROM documents")
@@ -358,13 +391,86 @@ def number_and_date_format(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", N.number_text(F.floor("o_totalprice")).alias("whole"), N.date_text(date).alias("full_date"), N.date_text(date, clock=False).alias("day"))
 
 
-HEADERS = """(1, 'a, b', '9.9.9.9', 'Bearer abc'), (2, '', '::ffff:1.2.3.4', 'bearer x'), (3, NULL, '10.0.0.1:8080', 'Bearer '), (4, NULL, NULL, ''), (5, '1.1.1.1', NULL, NULL) AS t(id, forwarded, ip, auth)"""
+@query(
+    """WITH h AS (SELECT event_id, user_id, CASE event_id % 4 WHEN 0 THEN '10.0.0.' || user_id || ', 9.9.9.9' WHEN 1 THEN '' END AS forwarded,
+        CASE event_id % 3 WHEN 0 THEN '::ffff:1.2.3.' || user_id WHEN 1 THEN '1.1.1.1:' || user_id END AS ip FROM events),
+    c AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN '10.0.0.' || user_id ELSE coalesce(ip, '') END AS client FROM h)
+    SELECT event_id, client, string_split(client, ':')[-1] AS key, CASE event_id % 5 WHEN 0 THEN 'T' || user_id WHEN 1 THEN '' ELSE '' END AS token FROM c"""
+)
+def request_headers(spark, sf_dir):
+    user = F.col("user_id").cast("string")
+    forwarded = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("10.0.0."), user, F.lit(", 9.9.9.9"))).when(F.col("event_id") % 4 == 1, "")
+    ip = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("::ffff:1.2.3."), user)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("1.1.1.1:"), user))
+    auth = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("Bearer T"), user)).when(F.col("event_id") % 5 == 1, "Bearer ").when(F.col("event_id") % 5 == 2, F.concat(F.lit("bearer T"), user))
+    client = T.client_ip(forwarded, ip)
+    return table(spark, sf_dir, "events").select("event_id", client.alias("client"), T.limiter_key(client).alias("key"), T.bearer_token(auth).alias("token"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 'a', 'abc'), (2, '::ffff:1.2.3.4', '1.2.3.4', ''), (3, '10.0.0.1:8080', '8080', ''), (4, '', '', ''), (5, '1.1.1.1', '1.1.1.1', '')) AS t(id, client, key, token)")
-def request_headers(spark, sf_dir):
-    client = T.client_ip(F.col("forwarded"), F.col("ip"))
-    return literal_rows(spark, HEADERS).select("id", client.alias("client"), T.limiter_key(client).alias("key"), T.bearer_token(F.col("auth")).alias("token"))
+@query("SELECT event_id, 'in/' || user_id AS path_input, CASE WHEN event_id % 3 <> 0 THEN event_type END AS search_text, NULL::VARCHAR AS path_output FROM events")
+def engine_request_body(spark, sf_dir):
+    """JSON bodies that lack a key, or two, as structs."""
+    body = F.to_json(F.struct(F.concat(F.lit("in/"), F.col("user_id").cast("string")).alias("pathInput"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("searchText"), F.lit(1).alias("more")))
+    got = S.engine_request(body)
+    return table(spark, sf_dir, "events").select("event_id", got["pathInput"].alias("path_input"), got["searchText"].alias("search_text"), got["pathOutput"].alias("path_output"))
+
+
+@query(
+    """SELECT page_id, 0 AS ord, 'file' AS name, 'p' || page_id || '.html' AS file_name, octet_length(encode(html))::INT AS n_bytes FROM pages
+    UNION ALL SELECT page_id, 1, 'searchText', NULL, length('find ' || page_id)::INT FROM pages"""
+)
+def multipart_parts(spark, sf_dir):
+    """Pages sent as multipart/form-data bodies, taken apart again."""
+    page = F.col("page_id").cast("string")
+    line = F.lit("\r\n")
+    head = F.concat(F.lit('--cut\r\nContent-Disposition: form-data; name="file"; filename="p'), page, F.lit('.html"\r\nContent-Type: text/html\r\n\r\n'))
+    tail = F.concat(line, F.lit('--cut\r\nContent-Disposition: form-data; name="searchText"\r\n\r\nfind '), page, line, F.lit("--cut--\r\n"))
+    bodies = table(spark, sf_dir, "pages").select("page_id", F.encode(F.concat(head, "html", tail), "UTF-8").alias("body"), F.lit("multipart/form-data; boundary=cut").alias("kind"))
+    parts = bodies.lateralJoin(S.MultipartParts(F.col("body").outer(), F.col("kind").outer()))
+    return parts.select("page_id", "ord", "name", "file_name", F.octet_length("buffer").alias("n_bytes"))
+
+
+@query(r"SELECT page_id, url_decode(replace(url, '+', '%2B')) AS decoded, 'a b/' || page_id || '+é' AS back FROM pages")
+def uri_decode(spark, sf_dir):
+    coded = F.concat(F.lit("a%20b/"), F.col("page_id").cast("string"), F.lit("+%C3%A9"))
+    return table(spark, sf_dir, "pages").select("page_id", T.decode_uri(F.col("url")).alias("decoded"), T.decode_uri(coded).alias("back"))
+
+
+@query(r"SELECT page_id, 'input/' || regexp_replace(trim(string_split(url, '/')[-1]), '\.[^/.]+$', '') || '/' || string_split(url, '/')[-1] AS input_path, 'output/' || page_id || '/' AS output_path FROM pages")
+def request_paths(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", RE.input_path(T.base_name(url), T.file_name(url)).alias("input_path"), RE.output_path(F.col("page_id").cast("string")).alias("output_path"))
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, [(l_partkey % 50)::INT, (l_partkey % 50 + l_linenumber * 5)::INT, (l_partkey % 50 + 3)::INT, (l_suppkey % 40)::INT] AS xs,
+        [(l_suppkey % 40)::INT, (l_suppkey % 40 + 1)::INT, (l_suppkey % 40 + l_linenumber)::INT, (l_partkey % 50)::INT] AS ys FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, round_even((list_min(xs) + list_max(xs)) / 2, 0)::INT AS x, round_even((list_min(ys) + list_max(ys)) / 2, 0)::INT AS y FROM p"""
+)
+def polygon_center(spark, sf_dir):
+    """Centre of four points: middle of their least and greatest coordinates."""
+    items = B.items_from_arrays(F.array(_points()), F.array(F.lit("t")))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.get(items, F.lit(0)).alias("i"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("i.centerPoint.x").alias("x"), F.col("i.centerPoint.y").alias("y"))
+
+
+@query("SELECT string_split(min_by(text, doc_id), ':')[2][2:] AS vendor FROM (SELECT doc_id, 'vendor_id : v' || doc_id AS text FROM documents WHERE doc_id % 9 = 4)")
+def cpu_vendor(spark, sf_dir):
+    line = F.when(F.col("doc_id") % 9 == 4, F.concat(F.lit("vendor_id : v"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("model: "), "lang"))
+    return S.first_vendor(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), line.alias("line")))
+
+
+@query("SELECT doc_id, CASE WHEN coalesce(source, '') = '' OR doc_id % 3 = 0 THEN lang ELSE source END AS value FROM documents")
+def setting_fallback(spark, sf_dir):
+    primary = F.when(F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 2 == 0, "")).otherwise(F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.setting(primary, F.col("lang")).alias("value"))
+
+
+@query(f"SELECT 'root/' || event_id AS path FROM events WHERE event_id % 3 = 0 AND epoch(TIMESTAMP '{NOW}') - epoch(date_trunc('second', ts)) > 86400 * 30")
+def sweep_entries(spark, sf_dir):
+    """Of entries, nested files and hidden names under a root those that a sweep takes."""
+    name = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("d/"), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit(".h"), F.col("event_id").cast("string")))
+    listing = table(spark, sf_dir, "events").select(F.concat(F.lit("root/"), name).alias("path"), F.col("ts").cast("timestamp").alias("modificationTime"))
+    return R.sweep_candidates(listing, "root", F.lit(NOW).cast("timestamp"), 86400 * 30).select("path")
 
 
 @query(f"SELECT event_id, epoch(TIMESTAMP '{NOW}') - epoch(date_trunc('second', ts)) > 86400 * 30 AS expired FROM events")
@@ -400,64 +506,97 @@ def download_base64(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.unwrapped_base64(F.encode("text", "UTF-8")).alias("stdout"))
 
 
-@query("SELECT * FROM (VALUES (1, 'CUDAExecutionProvider,CPUExecutionProvider'), (2, 'CPUExecutionProvider'), (3, '')) AS t(id, chosen)")
+@query(
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'CUDAExecutionProvider,CPUExecutionProvider' WHEN 1 THEN 'OpenVINOExecutionProvider' WHEN 2 THEN '' ELSE 'CUDAExecutionProvider,OpenVINOExecutionProvider,CPUExecutionProvider' END AS chosen FROM pages"""
+)
 def provider_select(spark, sf_dir):
-    rows = literal_rows(spark, "(1, array('CPUExecutionProvider', 'X', 'CUDAExecutionProvider')), (2, array('CPUExecutionProvider')), (3, array('X')) AS t(id, available)")
-    return rows.select("id", F.array_join(S.providers_in_order(F.col("available")), ",").alias("chosen"))
+    there = [["CPUExecutionProvider", "X", "CUDAExecutionProvider"], ["OpenVINOExecutionProvider", "Y"], ["X"], ["CPUExecutionProvider", "OpenVINOExecutionProvider", "CUDAExecutionProvider"]]
+    available = F.get(F.array(*[F.array(*map(F.lit, x)) for x in there]), (F.col("page_id") % 4).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(S.providers_in_order(available), ",").alias("chosen"))
 
 
-@query("SELECT * FROM (VALUES ('A', 'set'), ('B', 'two words'), ('C', 'x=y'), ('D', 'late'), ('lonely', 'lonely')) AS t(key, value)")
+@query(
+    """WITH l AS (SELECT doc_id AS ord, 'K' || (doc_id % 50) AS key, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN lang || '=' || doc_id ELSE lang || ' ' || doc_id END AS value FROM documents),
+    f AS (SELECT key, coalesce(min_by(value, ord) FILTER (WHERE value <> ''), '') AS found FROM l GROUP BY key),
+    e AS (SELECT 'K' || doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN 'set' ELSE '' END AS value FROM documents WHERE doc_id < 30)
+    SELECT key, CASE WHEN coalesce(e.value, '') <> '' THEN e.value ELSE found END AS value FROM f LEFT JOIN e USING (key)"""
+)
 def env_precedence(spark, sf_dir):
-    lines = literal_rows(spark, """(0, 'A=file'), (1, "B='two words'"), (2, 'C=x=y'), (3, ''), (4, 'D='), (5, 'D=late'), (6, 'B=again'), (7, 'lonely') AS t(ord, line)""")
-    existing = literal_rows(spark, "('A', 'set'), ('B', '') AS t(key, value)")
+    """Settings lines made of documents (plain, with quotes, with an equals sign inside, empty) over what is set already."""
+    docs, n = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    value = F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 4 == 1, F.concat("lang", F.lit("="), n)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("'"), "lang", F.lit(" "), n, F.lit("'"))).otherwise(F.concat("lang", F.lit(" "), n))
+    lines = docs.select(F.col("doc_id").alias("ord"), F.concat(F.lit("K"), (F.col("doc_id") % 50).cast("string"), F.lit("="), value).alias("line"))
+    existing = docs.where("doc_id < 30").select(F.concat(F.lit("K"), n).alias("key"), F.when(F.col("doc_id") % 3 == 0, "set").otherwise("").alias("value"))
     return S.effective_settings(S.parse_settings(lines), existing)
 
 
-@query("SELECT * FROM (VALUES ('a_local', 'jp', 'ja-JP', 'JPY'), ('prod_it', 'it', 'it-IT', 'EUR'), ('x_', 'jp', 'ja-JP', 'JPY'), ('us', 'us', 'en-US', 'USD')) AS t(name, key, locale, currency)")
-def locale_lookup(spark, sf_dir):
-    rows = literal_rows(spark, "('a_local'), ('prod_it'), ('x_'), ('us') AS t(name)").withColumn("key", S.locale_key(F.col("name")))
-    return S.with_locale(rows, "key")
-
-
-AUDIT_TEXT = (
-    '{"metadata":{"vulnerabilities":{"low":2,"high":1},"dependencies":{"total":9}},"vulnerabilities":{"a":{"severity":"high","isDirect":true,"range":"<2","fixAvailable":true,'
-    '"via":["b",{"source":7,"title":"t"},{"title":"u"}]},"b":{"fixAvailable":{"name":"bb","version":"3"},"via":[]},"c":{"severity":"low","fixAvailable":false}}}'
+@query(
+    """WITH n AS (SELECT n_nationkey, ['a_local', 'prod_it', 'x_', 'us', 'a_b_jp', 'test_de'][n_nationkey % 6 + 1] AS name, ['jp', 'it', 'jp', 'us', 'jp', 'de'][n_nationkey % 6 + 1] AS key FROM nation)
+    SELECT n_nationkey, name, key, CASE key WHEN 'jp' THEN 'ja-JP' WHEN 'it' THEN 'it-IT' WHEN 'us' THEN 'en-US' ELSE 'de-DE' END AS locale, CASE key WHEN 'jp' THEN 'JPY' WHEN 'us' THEN 'USD' ELSE 'EUR' END AS currency FROM n"""
 )
+def locale_lookup(spark, sf_dir):
+    names = F.array(*map(F.lit, ["a_local", "prod_it", "x_", "us", "a_b_jp", "test_de"]))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.get(names, F.col("n_nationkey") % 6).alias("name"))
+    return S.with_locale(rows.withColumn("key", S.locale_key(F.col("name"))), "key")
 
 
-def _audit(spark):
-    return S.read_audit(spark.createDataFrame([(AUDIT_TEXT,)], "text string"), "text")
+def _audits(spark, sf_dir):
+    """Suppliers as packages of an audit report for each nation."""
+    k = F.col("s_suppkey")
+    fix = F.when(k % 4 == 0, "true").when(k % 4 == 1, "false").when(k % 4 == 2, F.concat(F.lit('{"name":"fix'), k.cast("string"), F.lit('","version":"'), (k % 7).cast("string"), F.lit('"}'))).otherwise('{"isSemVerMajor":true}')
+    via = F.when(k % 3 == 0, '["dep",{"source":7,"title":"t"}]').when(k % 3 == 1, '[{"title":"u"}]').otherwise("[]")
+    severity = F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit('"severity":"'), F.get(F.array(*map(F.lit, ["low", "moderate", "high", "critical"])), (k % 5 - 1).cast("int")), F.lit('",')))
+    package = F.concat(F.lit('"p'), k.cast("string"), F.lit('":{'), severity, F.lit('"isDirect":'), (k % 2 == 0).cast("string"), F.lit(',"range":"<'), (k % 9).cast("string"), F.lit('","fixAvailable":'), fix, F.lit(',"via":'), via, F.lit("}"))
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", k.alias("k"), package.alias("p"))
+    listed = rows.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]), ",").alias("ps"))
+    text = F.concat(F.lit('{"metadata":{"vulnerabilities":{"low":'), F.col("n").cast("string"), F.lit(',"high":1},"dependencies":{"total":'), (F.col("n") * 3).cast("string"), F.lit('}},"vulnerabilities":{'), "ps", F.lit("}}"))
+    return S.read_audit(listed.select("s_nationkey", text.alias("text")), "text")
 
 
 @query(
-    """SELECT * FROM (VALUES ('a', 'high', 'Direct', '<2', 'Available (version unknown).', 'b | 7:t | advisory:u'), ('b', 'unknown', 'Transitive', 'n/d', 'bb@3', ''),
-    ('c', 'low', 'Transitive', 'n/d', 'Not available', '')) AS t(name, severity, kind, range, fix, cause)"""
+    """SELECT 'p' || s_suppkey AS name, CASE s_suppkey % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'low' WHEN 2 THEN 'moderate' WHEN 3 THEN 'high' ELSE 'critical' END AS severity,
+    CASE WHEN s_suppkey % 2 = 0 THEN 'Direct' ELSE 'Transitive' END AS kind, '<' || (s_suppkey % 9) AS range,
+    CASE s_suppkey % 4 WHEN 0 THEN 'Available (version unknown).' WHEN 1 THEN 'Not available' WHEN 2 THEN 'fix' || s_suppkey || '@' || (s_suppkey % 7) ELSE 'p' || s_suppkey || '@latest' END AS fix,
+    CASE s_suppkey % 3 WHEN 0 THEN 'dep | 7:t' WHEN 1 THEN 'advisory:u' ELSE '' END AS cause FROM supplier"""
 )
 def audit_packages(spark, sf_dir):
-    return K.audit_packages(_audit(spark))
+    return K.audit_packages(_audits(spark, sf_dir))
 
 
-@query("SELECT '9' AS total, 0 AS info, 2 AS low, 0 AS moderate, 1 AS high, 0 AS critical, 3 AS n_packages, 2 AS n_fixable")
+@query(
+    """SELECT (count(*) * 3)::VARCHAR AS total, 0 AS info, count(*)::INT AS low, 0 AS moderate, 1 AS high, 0 AS critical, count(*)::INT AS n_packages, count(*) FILTER (WHERE s_suppkey % 4 <> 1)::INT AS n_fixable
+    FROM supplier GROUP BY s_nationkey"""
+)
 def audit_summary(spark, sf_dir):
-    return K.audit_summary(_audit(spark))
+    return K.audit_summary(_audits(spark, sf_dir))
+
+
+#: Paths of one to four pieces made of page numbers.
+PATHS_SQL = """p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'd' || (page_id % 10) || '/d' || (page_id % 10) || 'x' || page_id || '.txt' WHEN 1 THEN 'top' || page_id || '.txt'
+    WHEN 2 THEN 'd' || (page_id % 6) || '/e/e' || page_id || '.png' ELSE 'g/h/i/' || page_id || '.txt' END AS path FROM pages)"""
 
 
-LISTING = "('a/ab.txt'), ('a/b.txt'), ('c.txt'), ('a/d/dx.png'), ('e/f/g/gz') AS t(path)"
+def _paths(spark, sf_dir):
+    n, text = F.col("page_id"), F.col("page_id").cast("string")
+    ten, six = (n % 10).cast("string"), (n % 6).cast("string")
+    path = F.when(n % 4 == 0, F.concat(F.lit("d"), ten, F.lit("/d"), ten, F.lit("x"), text, F.lit(".txt"))).when(n % 4 == 1, F.concat(F.lit("top"), text, F.lit(".txt")))
+    path = path.when(n % 4 == 2, F.concat(F.lit("d"), six, F.lit("/e/e"), text, F.lit(".png"))).otherwise(F.concat(F.lit("g/h/i/"), text, F.lit(".txt")))
+    return table(spark, sf_dir, "pages").select(path.alias("path"))
 
 
-@query("SELECT * FROM (VALUES ('a/'), ('e/'), ('a/ab.txt'), ('a/b.txt'), ('c.txt')) AS t(entry)")
+@query(f"WITH {PATHS_SQL} SELECT DISTINCT string_split(path, '/')[1] || '/' AS entry FROM p WHERE contains(path, '/') UNION ALL SELECT path FROM p WHERE page_id % 4 < 2")
 def listing_two_levels(spark, sf_dir):
-    return FI.two_levels(literal_rows(spark, LISTING), ".txt")
+    return FI.two_levels(_paths(spark, sf_dir), ".txt")
 
 
-@query("SELECT * FROM (VALUES ('a/ab.txt'), ('a/d/dx.png'), ('e/f/g/gz')) AS t(path)")
+@query(f"WITH {PATHS_SQL} SELECT path FROM p WHERE page_id % 4 IN (0, 2)")
 def listing_named_after_directory(spark, sf_dir):
-    return FI.named_after_directory(literal_rows(spark, LISTING))
+    return FI.named_after_directory(_paths(spark, sf_dir))
 
 
-@query("SELECT 'a/' AS directory")
+@query(f"WITH {PATHS_SQL} SELECT regexp_replace(min(path), '/[^/]*$', '') || '/' AS directory FROM p WHERE path LIKE '%8.txt'")
 def listing_first_ending(spark, sf_dir):
-    return FI.first_path_ending(literal_rows(spark, LISTING), "b.txt")
+    return FI.first_path_ending(_paths(spark, sf_dir), "8.txt")
 
 
 @query("SELECT page_id, string_split(replace(url, 'http://', ''), ':')[1] AS host, regexp_replace(url, '^https?://', '') AS bare, trim(regexp_replace('  ' || url || '  x ', '\\s+', ' ', 'g')) AS squeezed FROM pages")

@@ -31,10 +31,13 @@ def rows_of(values: Column, width: int) -> Column:
 
 
 def emitted(matrix: Column) -> Column:
-    """(index, probability) of the steps of a time x class matrix that emit a character: not blank (0) and not the
-    index of the step before."""
+    """(index, p) of the steps of a time x class matrix that emit a character: not blank (0) and not the
+    index of the step before. The steps meet a copy of themselves moved by one, so the work grows with their number."""
     best = F.transform(matrix, lambda r: F.struct(argmax(r).alias("index"), F.array_max(r).alias("p")))
-    return F.filter(best, lambda s, i: (s["index"] != 0) & ((i == 0) | (s["index"] != F.get(best, i - 1)["index"])))
+    before = F.concat(F.array(F.lit(-1)), F.transform(matrix, argmax))
+    beside = F.zip_with(best, before, lambda s, k: F.struct(s["index"].alias("index"), s["p"].alias("p"), k.alias("before")))
+    kept = F.filter(beside, lambda s: s["index"].isNotNull() & (s["index"] != 0) & (s["index"] != s["before"]))
+    return F.transform(kept, lambda s: F.struct(s["index"].alias("index"), s["p"].alias("p")))
 
 
 def decoded_text(steps: Column, charset: Column) -> Column:
@@ -47,11 +50,6 @@ def mean_probability(steps: Column) -> Column:
     return F.when(F.size(steps) > 0, total / F.size(steps)).otherwise(F.lit(0.0))
 
 
-def point_bounds(points: Column) -> dict[str, Column]:
-    """Least and greatest x and y of an array of (x, y) structs."""
-    return {f"{f}_{c}": pick(F.transform(points, lambda p: p[c])) for c in "xy" for f, pick in (("min", F.array_min), ("max", F.array_max))}
-
-
 def corners(points: Column) -> Column:
     """Four (x, y) points as top left, top right, bottom right, bottom left.
 
@@ -59,9 +57,13 @@ def corners(points: Column) -> Column:
     first is the upper one only if the second lies below it.
     """
     placed = F.transform(points, lambda p, i: F.struct(p["x"].alias("x"), i.alias("i"), p["y"].alias("y")))
-    s = F.transform(F.array_sort(placed), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    at = lambda i: F.element_at(s, i + 1)
-    left, right = at(1)["y"] > at(0)["y"], at(3)["y"] > at(2)["y"]
-    top_left, bottom_left = F.when(left, at(0)).otherwise(at(1)), F.when(left, at(1)).otherwise(at(0))
-    top_right, bottom_right = F.when(right, at(2)).otherwise(at(3)), F.when(right, at(3)).otherwise(at(2))
-    return F.array(top_left, top_right, bottom_right, bottom_left)
+
+    def pick(s: Column) -> Column:
+        at = lambda i: F.struct(F.get(s, F.lit(i))["x"].alias("x"), F.get(s, F.lit(i))["y"].alias("y"))
+        left, right = at(1)["y"] > at(0)["y"], at(3)["y"] > at(2)["y"]
+        top_left, bottom_left = F.when(left, at(0)).otherwise(at(1)), F.when(left, at(1)).otherwise(at(0))
+        top_right, bottom_right = F.when(right, at(2)).otherwise(at(3)), F.when(right, at(3)).otherwise(at(2))
+        return F.array(top_left, top_right, bottom_right, bottom_left)
+
+    # An array of one holds the sorted points, so that they are sorted once for all eight uses.
+    return F.get(F.transform(F.array(F.array_sort(placed)), pick), F.lit(0))

@@ -48,11 +48,6 @@ def layout_boxes(rows: DataFrame) -> DataFrame:
     return kept.withColumn("label", layout_label(F.col("class_id"))).withColumn("center_x", N.center(F.col("x1"), F.col("x2"))).withColumn("center_y", N.center(F.col("y1"), F.col("y2")))
 
 
-def model_rows(output: Column, count: Column) -> Column:
-    """The rows of a model's output array that its count says are there; all of them without a count."""
-    return F.slice(output, F.lit(1), F.coalesce(count.cast("int"), F.size(output)))
-
-
 def detection_boxes(rows: DataFrame, image: str = "image_id", cap: int = N.MAX_CANDIDATES) -> DataFrame:
     """Candidates (contour_ord, side, score, box_width, box_height) of each image that pass the gates.
 

@@ -6,7 +6,9 @@ hand-made shapes to within a pixel. Images are height x width x 3 arrays of byte
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,18 +41,30 @@ def sample(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Bicubic resize with pixel centres kept in place, as bytes."""
+def sample_linear(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bilinear values at the crossings of columns x and rows y; the border is repeated outwards."""
+    height, width = image.shape[:2]
+    x, y = np.clip(x, 0, width - 1), np.clip(y, 0, height - 1)
+    left, top = np.floor(x).astype(int), np.floor(y).astype(int)
+    right, below = np.minimum(left + 1, width - 1), np.minimum(top + 1, height - 1)
+    dx, dy = (x - left)[None, :, None], (y - top)[:, None, None]
+    upper = image[top][:, left] * (1 - dx) + image[top][:, right] * dx
+    lower = image[below][:, left] * (1 - dx) + image[below][:, right] * dx
+    return upper * (1 - dy) + lower * dy
+
+
+def resize(image: np.ndarray, width: int, height: int, smooth: bool = False) -> np.ndarray:
+    """Bilinear, or smooth (bicubic), resize with pixel centres kept in place, as bytes."""
     x = (np.arange(width) + 0.5) * image.shape[1] / width - 0.5
     y = (np.arange(height) + 0.5) * image.shape[0] / height - 0.5
-    grid_x, grid_y = np.meshgrid(x, y)
-    return np.clip(np.rint(sample(image.astype(float), grid_x, grid_y)), 0, 255).astype(np.uint8)
+    values = sample(image.astype(float), *np.meshgrid(x, y)) if smooth else sample_linear(image.astype(float), x, y)
+    return np.clip(np.floor(values + 0.5), 0, 255).astype(np.uint8)
 
 
 def layout_tensor(image: np.ndarray) -> dict[str, np.ndarray]:
     """The layout model's inputs: RGB, 1 x 3 x side x side in 0..1, with shape and scale."""
     height, width = image.shape[:2]
-    rgb = resize(image[:, :, ::-1], LAYOUT_SIDE, LAYOUT_SIDE).astype(np.float32) / 255
+    rgb = resize(image[:, :, ::-1], LAYOUT_SIDE, LAYOUT_SIDE, smooth=True).astype(np.float32) / 255
     shape = np.array([[LAYOUT_SIDE, LAYOUT_SIDE]], np.float32)
     scale = np.array([[LAYOUT_SIDE / height, LAYOUT_SIDE / width]], np.float32)
     return {"im_shape": shape, "image": rgb.transpose(2, 0, 1)[None], "scale_factor": scale}
@@ -94,12 +108,15 @@ def label_regions(mask: np.ndarray, diagonal: bool) -> np.ndarray:
             k = parent[k]
         return k
 
-    reach, above = int(diagonal), []
+    reach, above = int(diagonal), deque()
     for y in range(height):
         edges = np.flatnonzero(np.diff(np.concatenate([[0], mask[y].astype(np.int8), [0]])))
         runs = []
         for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            touching = [find(k) for s, e, k in above if s < end + reach and e > start - reach]
+            # Runs above lie in order: those that end before this one's start touch no later one either.
+            while above and above[0][1] <= start - reach:
+                above.popleft()
+            touching = [find(k) for s, e, k in itertools.takewhile(lambda r: r[0] < end + reach, above)]
             if touching:
                 mine = min(touching)
                 for k in touching:
@@ -109,31 +126,33 @@ def label_regions(mask: np.ndarray, diagonal: bool) -> np.ndarray:
                 parent.append(mine)
             out[y, start:end] = mine
             runs.append((start, end, mine))
-        above = runs
+        above = deque(runs)
     roots = np.array([find(k) for k in range(len(parent))])
     order = {r: i for i, r in enumerate(dict.fromkeys(roots[1:].tolist()), 1)}
     return np.array([0, *(order[r] for r in roots[1:].tolist())])[out]
 
 
+def _by_label(labels: np.ndarray, places: np.ndarray, width: int) -> list[np.ndarray]:
+    """(x, y) points by label, from flat places in raster order: one sort for all labels."""
+    order = np.argsort(labels, kind="stable")
+    labels, places = labels[order], places[order]
+    points = np.column_stack([places % width, places // width])
+    return np.split(points, np.flatnonzero(np.diff(labels)) + 1) if len(labels) else []
+
+
 def contours(mask: np.ndarray) -> list[np.ndarray]:
     """(x, y) points of the outer border of every region and of the border of every hole, in raster order of regions."""
-    found = []
-    regions = label_regions(mask, True)
-    for k in range(1, int(regions.max(initial=0)) + 1):
-        y, x = np.nonzero(regions == k)
-        found.append((y[0], x[0], np.column_stack([x, y])))
-    padded = np.pad(~mask, 1, constant_values=True)
-    holes = label_regions(padded, False)
-    grown = np.pad(mask, 1)
-    for k in range(2, int(holes.max(initial=0)) + 1):
-        hole = holes == k
-        near = np.zeros_like(hole)
-        near[1:], near[:-1] = hole[:-1], near[:-1] | hole[1:]
-        near[:, 1:] |= hole[:, :-1]
-        near[:, :-1] |= hole[:, 1:]
-        y, x = np.nonzero(near & grown)
-        found.append((y[0] - 1, x[0] - 1, np.column_stack([x - 1, y - 1])))
-    return [points for _, _, points in sorted(found, key=lambda f: f[:2])]
+    width = mask.shape[1]
+    regions = label_regions(mask, True).ravel()
+    inside = np.flatnonzero(regions)
+    found = _by_label(regions[inside], inside, width)
+    # Around the mask runs the outside, hole number 1; a hole's border is what touches it by a side.
+    holes = label_regions(np.pad(~mask, 1, constant_values=True), False)
+    y, x = np.nonzero(mask)
+    touching = np.concatenate([holes[y + 1 + dy, x + 1 + dx] for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+    pairs = np.unique(np.column_stack([touching, np.tile(y * width + x, 4)])[touching > 1], axis=0)
+    found += _by_label(pairs[:, 0], pairs[:, 1], width)
+    return sorted(found, key=lambda points: (points[0][1], points[0][0]))
 
 
 @dataclass
@@ -258,6 +277,16 @@ def crop_box(image: np.ndarray, corners) -> np.ndarray | None:
     return np.ascontiguousarray(np.rot90(out)) if height / width >= ROTATE_FROM else out
 
 
+def recognition_batches(crops: list[np.ndarray], most: int = 16) -> list[tuple[list[int], np.ndarray]]:
+    """Crops' tensors put together by width, at most `most` in one, with the crops' places."""
+    tensors = [recognition_tensor(c) for c in crops]
+    by_width: dict[int, list[int]] = {}
+    for i, t in enumerate(tensors):
+        by_width.setdefault(t.shape[3], []).append(i)
+    parts = [held[k : k + most] for held in by_width.values() for k in range(0, len(held), most)]
+    return [(part, np.concatenate([tensors[i] for i in part])) for part in parts]
+
+
 def decode_steps(probability: np.ndarray, charset: list[str]) -> tuple[str, float]:
     """Text and mean probability of a time x class matrix."""
     best, top = probability.argmax(1), probability.max(1)

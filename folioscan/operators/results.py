@@ -24,6 +24,11 @@ def result_json(document: Column) -> Column:
     return F.to_json(document, {"ignoreNullFields": "false"})
 
 
+def file_json(document: Column) -> Column:
+    """What a result file holds: the lists without the id, which its folder names."""
+    return F.to_json(F.struct(document["layoutList"].alias("layoutList"), document["itemList"].alias("itemList")), {"ignoreNullFields": "false"})
+
+
 def envelope(stdout: Column, stderr: Column | None = None) -> Column:
     """The response text around a payload, which is itself text."""
     return F.to_json(F.struct(F.struct(stdout.alias("stdout"), (F.lit("") if stderr is None else stderr).alias("stderr")).alias("response")))

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions.text import normalize_value
 from ..operators import boxes as B
 from ..operators import files, results
-from ..operators.pixels import crop_box, decode_steps, detection_tensor, layout_tensor, recognition_tensor, text_boxes
+from ..operators.pixels import crop_box, decode_steps, detection_tensor, layout_tensor, recognition_batches, text_boxes
 from ..session import materialize
 from ..sources.sinks import write_results
 
@@ -25,8 +25,8 @@ Image = np.ndarray
 class Models:
     """Functions that build what one worker needs, so that weights are loaded once in each.
 
-    decode: bytes -> BGR image or None. layout: image inputs -> rows [class, score, x1, y1, x2, y2]. detection: tensor ->
-    probability map. recognition: tensor -> time x class matrix. All are built by calling the given builders.
+    decode: bytes -> BGR image or None. layout: image inputs -> rows [class, score, x1, y1, x2, y2], or such rows and
+    how many of them count. detection: tensor -> probability map. recognition: tensors of one width -> as many time x class matrices. All are built by calling the given builders.
     """
 
     decode: Callable[[], Callable[[bytes], Image | None]]
@@ -54,7 +54,7 @@ def infer(images: DataFrame, models: Models) -> DataFrame:
                     image = decode(content)
                     if image is not None:
                         height, width = image.shape[:2]
-                        row[2:5] = [width, height, np.asarray(layout(layout_tensor(image)), float).tolist()]
+                        row[2:5] = [width, height, _rows(layout(layout_tensor(image)))]
                         row[5] = _read_boxes(image, detection, recognition, list(models.charset))
                 except Exception as error:  # noqa: BLE001 the file is set aside with its message
                     row[6] = f"{type(error).__name__}: {error}"
@@ -64,17 +64,25 @@ def infer(images: DataFrame, models: Models) -> DataFrame:
     return images.select("path", "unique_id", "content").mapInPandas(run, RAW)
 
 
+def _rows(output) -> list[list[float]]:
+    """The layout model's rows; with a count, so many of them."""
+    rows, count = output if isinstance(output, tuple) else (output, None)
+    return np.asarray(rows, float)[: None if count is None else int(count)].tolist()
+
+
 def _read_boxes(image: Image, detection, recognition, charset: list[str]) -> list[dict]:
-    found = []
-    for box in text_boxes(detection(detection_tensor(image)), *image.shape[:2]):
-        crop = crop_box(image, box["coordinate"])
-        text, score = ("", 0.0) if crop is None else decode_steps(recognition(recognition_tensor(crop)), charset)
-        found.append({"score": box["score"], "corners": [{"x": x, "y": y} for x, y in box["coordinate"]], "text": text, "text_score": score})
-    return found
+    boxes = text_boxes(detection(detection_tensor(image)), *image.shape[:2])
+    crops = [crop_box(image, box["coordinate"]) for box in boxes]
+    read = {i: ("", 0.0) for i, crop in enumerate(crops) if crop is None}
+    whole = [i for i in range(len(crops)) if i not in read]
+    for places, tensors in recognition_batches([crops[i] for i in whole]):
+        for k, matrix in zip(places, recognition(tensors)):
+            read[whole[k]] = decode_steps(np.asarray(matrix), charset)
+    return [{"score": b["score"], "corners": [{"x": x, "y": y} for x, y in b["coordinate"]], "text": read[i][0], "text_score": read[i][1]} for i, b in enumerate(boxes)]
 
 
 def documents(inferred: DataFrame, search: str) -> DataFrame:
-    """Result documents of inferred images, kept in one row each: gate, label, number and nest without a shuffle."""
+    """path, unique_id, error, decoded and document of inferred images, one row each: gate, label, number and nest without a shuffle."""
     width, height = F.col("width"), F.col("height")
 
     def box(row):
@@ -85,13 +93,13 @@ def documents(inferred: DataFrame, search: str) -> DataFrame:
     gated = F.filter(F.transform("layout", box), lambda b: (b["score"] >= B.N.LAYOUT_SCORE) & (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]))
     layout = F.transform(gated, lambda b: B.layout_struct(B.layout_label(b["c"]), b["score"], B.N.center(b["x1"], b["x2"]), B.N.center(b["y1"], b["y2"])))
     items = B.items_from_arrays(F.transform("detections", lambda d: d["corners"]), F.transform("detections", lambda d: d["text"]))
-    rows = inferred.select("path", "unique_id", "error", layout.alias("layout"), items.alias("items"))
-    # Matching needs one text a row where characters call for full normalisation, so texts are joined by a mark.
+    decoded = F.col("width").isNotNull() & F.col("error").isNull()
+    rows = inferred.select("path", "unique_id", "error", decoded.alias("decoded"), layout.alias("layout"), items.alias("items"))
     matched = _match_array(F.transform("items", lambda i: i["text"]), search)
     rows = rows.withColumn("_m", matched)
     items = F.transform("items", lambda i, k: B.item_struct(i["id"], i["centerPoint"]["x"], i["centerPoint"]["y"], i["text"], F.get("_m", k)))
     document = results.result_document(F.col("unique_id"), F.col("layout"), items)
-    return rows.select("path", "unique_id", "error", document.alias("document"))
+    return rows.select("path", "unique_id", "error", "decoded", document.alias("document"))
 
 
 def _match_array(texts, search: str):
@@ -105,14 +113,15 @@ def _match_array(texts, search: str):
 
 
 def extract(images: DataFrame, models: Models, search: str, output: str | None = None) -> DataFrame:
-    """unique_id, error, json and response of each image; with `output` also one result folder for each readable image."""
+    """path, unique_id, error, decoded, json and response of each image; with `output` also one result folder for each image
+    that could be decoded."""
     done = documents(infer(images, models), search)
-    out = done.select("path", "unique_id", "error", results.result_json(F.col("document")).alias("json"))
+    out = done.select("path", "unique_id", "error", "decoded", results.result_json(F.col("document")).alias("json"), results.file_json(F.col("document")).alias("file"))
     out = out.withColumn("response", F.when(F.col("error").isNull(), results.envelope(F.col("json"))).otherwise(results.error_document(F.col("error"))))
     if output:
         out = materialize(out, "extracted")  # models run once, for the files and the rows
-        write_results(out.where("error IS NULL"), output)
-    return out
+        write_results(out.where("decoded").select("unique_id", F.col("file").alias("json")), output)
+    return out.drop("file")
 
 
 def intake(parts: DataFrame, allowed: str, megabytes: str) -> DataFrame:

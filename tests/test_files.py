@@ -53,7 +53,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert S.read_character_list(spark, str(tmp_path / "in/a.txt")) == ["blank", "x", "y", " "]
     results = spark.createDataFrame([("u1", '{"a":"ü"}'), ("u2", "{}")], "unique_id string, json string")
     K.write_results(results, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).where("unique_id = 'u1'").first().value == '{"a":"ü"}'
+    assert spark.read.text(str(tmp_path / "out"), wholetext=True).where("unique_id = 'u1'").first().value == '{\n  "a": "ü"\n}\n'
     assert K.write_bytes(spark, str(tmp_path / "out/u3/r.json"), b"{}" * 100)
     assert K.download(spark, str(tmp_path / "out"), "u3", "r.json").first().stdout == __import__("base64").b64encode(b"{}" * 100).decode()
     with pytest.raises(ValueError):

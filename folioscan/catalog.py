@@ -429,6 +429,35 @@ def multipart_parts(spark, sf_dir):
     return parts.select("page_id", "ord", "name", "file_name", F.octet_length("buffer").alias("n_bytes"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Content-type missing.' END AS error FROM events")
+def content_type_check(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 3 != 0, F.when(F.col("event_id") % 3 == 1, "multipart/form-data; boundary=b").otherwise(""))
+    return table(spark, sf_dir, "events").select("event_id", FI.content_type_error(kind).alias("error"))
+
+
+@query("SELECT conv_id, encode(string_agg(text, '' ORDER BY turn)) AS body FROM conversations GROUP BY conv_id")
+def chunks_of_body(spark, sf_dir):
+    """A conversation's turns as the chunks of one request."""
+    chunks = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.encode("text", "UTF-8").alias("chunk"))
+    return FI.whole_bodies(chunks, "conv_id", "turn", "chunk")
+
+
+@query("SELECT event_id, 'Time: ' || strftime(ts, '%Y/%-m/%-d %H:%M:%S') || ' - ' || event_type || ': ' || props AS line, round(epoch_us(ts) % 60000000 / 1e6, 3) AS seconds FROM events")
+def log_lines(spark, sf_dir):
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", K.log_line(ts, F.col("event_type"), F.col("props")).alias("line"), N.elapsed_seconds(F.date_trunc("minute", ts), ts).alias("seconds"))
+
+
+@query(
+    """SELECT event_id, 'e' || event_id || '.png' AS name, CASE WHEN event_id % 2 = 0 THEN '5' END AS size, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y/%-m/%-d %H:%M:%S') END AS date_modified FROM events"""
+)
+def file_details(spark, sf_dir):
+    """Names with and without a folder: only paths have their file's size and date."""
+    name = F.concat(F.when(F.col("event_id") % 2 == 0, "d/").otherwise(""), F.lit("e"), F.col("event_id").cast("string"), F.lit(".png"))
+    detail = FI.file_detail(name, stat_size=F.lit(5), modified=F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", detail.alias("d")).select("event_id", "d.name", "d.size", "d.date_modified")
+
+
 @query(r"SELECT page_id, url_decode(replace(url, '+', '%2B')) AS decoded, 'a b/' || page_id || '+é' AS back FROM pages")
 def uri_decode(spark, sf_dir):
     coded = F.concat(F.lit("a%20b/"), F.col("page_id").cast("string"), F.lit("+%C3%A9"))

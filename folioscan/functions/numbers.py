@@ -89,3 +89,8 @@ def date_text(time: Column, day: bool = True, clock: bool = True) -> Column:
     """ja-JP form: numeric date and 24-hour clock."""
     parts = [p for p, on in (("yyyy/M/d", day), ("HH:mm:ss", clock)) if on]
     return F.date_format(time, " ".join(parts)) if parts else F.year(time).cast("string")
+
+
+def elapsed_seconds(began: Column, ended: Column) -> Column:
+    """Seconds between two times, to three decimals."""
+    return F.round((F.unix_micros(ended) - F.unix_micros(began)) / 1e6, 3)

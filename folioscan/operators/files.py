@@ -128,11 +128,11 @@ def by_extension(value: Column) -> Column:
     return F.get(_kinds(), F.try_element_at(place, T.extension(value)))
 
 
-def file_detail(value: Column, content: Column | None = None, stat_size: Column | None = None, human: bool = False) -> Column:
-    """Struct name, base_name, extension, category, mime, size of a file by its bytes and name.
+def file_detail(value: Column, content: Column | None = None, stat_size: Column | None = None, human: bool = False, modified: Column | None = None) -> Column:
+    """Struct name, base_name, extension, category, mime, size, date_modified of a file by its bytes and name.
 
     Bytes decide; the name's extension does where they decide nothing or say zip. Only known bytes give a size (and a
-    path its file's size); an empty value gives null. Unknown files have no name, type or size from here.
+    path its file's size); only a path has a date, if its file's time is given; an empty value gives null. Unknown files have no name, type or size from here.
     """
     size_text = lambda n: N.human_size(n) if human else n.cast("string")
     by_bytes = sniffed(content) if content is not None else F.lit(None).cast("struct<ord:int,mime:string,ext:string,category:string>")
@@ -148,6 +148,7 @@ def file_detail(value: Column, content: Column | None = None, stat_size: Column
         kind["category"].alias("category"),
         kind["mime"].alias("mime"),
         size.alias("size"),
+        (F.lit(None).cast("string") if modified is None else F.when(F.contains(value, F.lit("/")), N.date_text(modified))).alias("date_modified"),
     )
     return F.when(value != "", made)
 
@@ -178,6 +179,18 @@ def check_uploads(parts: DataFrame, allowed: str, megabytes: str) -> DataFrame:
     return rows.groupBy("request_id").agg(F.concat(faults, missing).alias("error"))
 
 
+def content_type_error(content_type: Column) -> Column:
+    """What is wrong with a request's content type before its body is looked at; null if nothing is."""
+    # Fixed value: the message.
+    return F.when(content_type.isNull(), "Content-type missing.")
+
+
+def whole_bodies(chunks: DataFrame, key: str, order: str, chunk: str) -> DataFrame:
+    """(key, body): each request's chunks put together in their order. A request's size is limited, so its chunks are few."""
+    held = F.array_sort(F.collect_list(F.struct(order, chunk)))
+    return chunks.groupBy(key).agg(F.aggregate(held, F.lit(b""), lambda body, c: F.concat(body, F.coalesce(c[chunk], F.lit(b"")))).alias("body"))
+
+
 def chosen_parts(parts: DataFrame) -> DataFrame:
     """(request_id, stored, processed, search_text): the first file is stored, the last file name and search text are processed."""
     is_file, is_text = F.col("name") == "file", F.col("name") == "searchText"

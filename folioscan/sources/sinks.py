@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.numbers import date_text
 from ..functions.text import unwrapped_base64
 from .readers import read_files
 
@@ -101,6 +102,16 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> bool:
     return True
 
 
+def log_line(time_: Column, tag: Column, value: Column) -> Column:
+    return F.concat(F.lit("Time: "), date_text(time_), F.lit(" - "), tag, F.lit(": "), value)
+
+
+def append_log(lines: DataFrame, path: str, debug: bool) -> None:
+    """Add log lines (column line) to those under path; nothing without debug."""
+    if debug:
+        lines.select("line").write.mode("append").text(path)
+
+
 def overlay_colour(matched: Column) -> Column:
     """Colour of a box in the debug picture."""
     return F.when(matched, "green").otherwise("red")

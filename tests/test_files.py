@@ -81,3 +81,12 @@ def test_requests_schedule_and_vendor(spark, tmp_path):
     listing = spark.createDataFrame([("/r/a", 0), ("/r/.b", 0), ("/r/c", 95), ("/r/d/e", 0)], "path string, s long").select("path", F.timestamp_seconds("s").alias("modificationTime"))
     swept = R.sweep_candidates(listing, "/r", F.timestamp_seconds(F.lit(100)), 5)
     assert [r.path for r in swept.collect()] == ["/r/a"]
+
+
+def test_debug_log(spark, tmp_path):
+    lines = spark.createDataFrame([("a",), ("b",)], "line string")
+    K.append_log(lines, str(tmp_path / "log"), False)
+    assert not (tmp_path / "log").exists()
+    K.append_log(lines, str(tmp_path / "log"), True)
+    K.append_log(lines, str(tmp_path / "log"), True)
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect()) == ["a", "a", "b", "b"]

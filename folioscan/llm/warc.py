@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import Scratch
 from .common import empty_if_null, group_in_two_levels, null_safe_key, salt_count
 
 CHUNK = 1 << 20
+#: Payload bytes that an archive holds about: beyond the session's number of partitions, pages go to so many more tasks.
+ARCHIVE_BYTES = 1 << 30
 #: Payloads from this many bytes on are stored once and referred to.
 MIN_REVISIT_BYTES = 0
 
@@ -70,7 +73,7 @@ def record_chunks(page_id, uri: str | None, payload, digest: str, kind: str, ref
     total = len(payload)
     fields = [(b"WARC-Target-URI", b"".join((uri or "").encode().split())), (b"WARC-Date", b"1970-01-01T00:00:00Z"), (b"WARC-Payload-Digest", b"sha1:" + digest.encode())]
     if kind == "revisit":
-        more = [(b"WARC-Profile", REVISIT_PROFILE), (b"WARC-Refers-To", _urn(refers_to, digest, 1, 1)), (b"WARC-Payload-Length", b"%d" % total)]
+        more = [(b"WARC-Profile", REVISIT_PROFILE), (b"WARC-Refers-To", _urn(refers_to, digest, 1, 1))]
         yield _record(b"revisit", [(b"WARC-Record-ID", _urn(page_id, digest, nth, 1)), *fields, *more], b"")
         return
     head = HTTP_HEAD % total
@@ -100,7 +103,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
     # column with plain equality lets the join and the numbering use one exchange of the payloads.
     keyed = lambda rows: rows.withColumn("_key", null_safe_key("page_id"))
     copies = keyed(plan).groupBy("_key", "digest").agg(F.min("record_type").alias("record_type"), F.max("refers_to").alias("refers_to"))
-    rows = keyed(rows).join(copies.hint("merge"), ["_key", "digest"])
+    total = pages.agg(F.coalesce(F.sum(F.octet_length(payload_col)), F.lit(0))).first()[0]
+    archives = -(-int(total) // ARCHIVE_BYTES)
+    rows = keyed(rows)
+    if archives > int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(archives, "_key", "digest")
+    rows = rows.join(copies.hint("merge"), ["_key", "digest"])
     nth = F.row_number().over(Window.partitionBy("_key", "digest").orderBy("_key"))
     again = (F.col("_nth") > 1) & (F.col("record_type") == "response") & (F.octet_length("payload") >= min_bytes)
     rows = rows.withColumn("_nth", nth).withColumn("refers_to", F.when(again, F.col("page_id")).otherwise(F.col("refers_to"))).withColumn("record_type", F.when(again, "revisit").otherwise(F.col("record_type")))
@@ -133,6 +141,7 @@ class RecordReader:
         self.block: list[bytes] = []
         self.have = 0
         self.sha1, self.total, self.chunk_no, self.origin = hashlib.sha1(), 0, 0, {}
+        self.waiting = False
 
     def feed(self, line: bytes) -> tuple | None:
         """One line without its line feed; a chunk row when a record segment is complete."""
@@ -160,25 +169,37 @@ class RecordReader:
         f, self.fields, self.block, self.need = self.fields, None, [], 0
         kind = f["warc-type"]
         if kind != "continuation":
+            self.close()
             self.sha1, self.total, self.chunk_no, self.origin = hashlib.sha1(), 0, 0, f
+        elif not self.waiting or f.get("warc-segment-origin-id") != self.origin["warc-record-id"]:
+            raise ValueError(f"archive damaged: segment without its record: {f.get('warc-record-id')}")
         head = block.find(b"\r\n\r\n") + 4 if kind == "response" else 0
         payload = block[head:] if head else block
         self.sha1.update(payload)
         self.total += len(payload)
         self.chunk_no += 1
         last = "warc-segment-number" not in f or "warc-segment-total-length" in f
-        origin, revisit = self.origin, self.origin["warc-type"] == "revisit"
-        total = int(origin["warc-payload-length"]) if revisit else self.total
-        stated = origin.get("warc-payload-digest", "").removeprefix("sha1:")
-        digest = stated if revisit else base32(self.sha1.digest())
-        return (origin["warc-record-id"], self.chunk_no, origin["warc-type"], origin.get("warc-target-uri"), origin.get("warc-refers-to"), head, payload, total, digest, stated, last)
+        self.waiting = not last
+        origin = self.origin
+        stated, digest = origin.get("warc-payload-digest", "").removeprefix("sha1:"), base32(self.sha1.digest())
+        if origin["warc-type"] == "revisit":
+            digest = stated
+        elif last and stated and stated != digest:
+            raise ValueError(f"archive damaged: {origin['warc-record-id']} has the digest {digest}")
+        return (origin["warc-record-id"], self.chunk_no, origin["warc-type"], origin.get("warc-target-uri"), origin.get("warc-refers-to"), head, payload, self.total, digest, stated, last)
+
+    def close(self) -> None:
+        """An archive, or a record before the next, must be whole."""
+        if self.fields is not None or self.block or self.need or self.waiting:
+            raise ValueError(f"archive damaged: it ends within {(self.fields or self.origin).get('warc-record-id')}")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The chunk table of the archives under path: a row for each record segment, in CHUNKS' columns.
 
     payload_total and payload_digest run along: in a row they cover the record's chunks so far, so the last
-    chunk has those of the whole payload although no task ever held it. A revisit carries those of its response as it states them.
+    chunk has those of the whole payload although no task ever held it. Whole payloads whose digest isn't the one
+    stated, segments that lack their record and archives that end within a record are errors. A revisit has the digest that it states; page_report() compares it.
     Gzip archives are not split, so a task sees each one's lines in order.
     """
 
@@ -190,25 +211,38 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for line, name in zip(batch.column("line").to_pylist(), batch.column("file").to_pylist()):
                 if name != file:
+                    reader.close()
                     reader, file = RecordReader(), name
                 if (row := reader.feed(line)) is not None:
                     rows.append(row)
             columns = list(zip(*rows)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+        reader.close()
 
     lines = spark.read.option("lineSep", "\n").text(path)
     return lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file")).mapInArrow(run, CHUNKS)
 
 
 def page_report(chunks: DataFrame) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, from the last chunk of each."""
-    last = chunks.where("last")
-    return last.select(
-        F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(-?[0-9]+):', 1) as long)").alias("page_id"),
-        F.col("payload_total").alias("payload_bytes"),
-        "payload_digest",
+    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, from the last chunk of each.
+
+    A revisit is resolved: length and digest are those read from the response that it refers to. One without a response, or
+    with another digest than it states, is an error.
+    """
+    slim = chunks.where("last").select("record_id", "record_type", "refers_to", "payload_total", "payload_digest", "stated_digest")
+    last = Scratch(chunks.sparkSession, "warc-records").write(slim, "last")
+    r = last.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to"), F.col("payload_total").alias("_total"), F.col("payload_digest").alias("_digest"))
+    found = last.join(r.hint("merge"), "refers_to", "left")
+    revisit = F.col("record_type") == "revisit"
+    wrong = revisit & (F.col("_digest").isNull() | (F.col("_digest") != F.col("stated_digest")))
+    digest = F.when(wrong, F.raise_error(F.concat(F.lit("archive damaged: revisit without its response: "), "record_id"))).when(revisit, F.col("_digest")).otherwise(F.col("payload_digest"))
+    page_of = lambda name: F.expr(f"try_cast(regexp_extract({name}, '^<urn:page:(-?[0-9]+):', 1) as long)")
+    return found.select(
+        page_of("record_id").alias("page_id"),
+        F.when(revisit, F.col("_total")).otherwise(F.col("payload_total")).alias("payload_bytes"),
+        digest.alias("payload_digest"),
         "record_type",
-        F.expr("try_cast(regexp_extract(refers_to, '^<urn:page:(-?[0-9]+):', 1) as long)").alias("refers_to"),
+        page_of("refers_to").alias("refers_to"),
     )
 
 

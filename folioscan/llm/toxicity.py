@@ -13,17 +13,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import whole_row
-
-#: Labelled documents used for fitting, at most (those with the smallest hashed ids).
-MAX_TRAIN = 20_000
+from ..session import Scratch
+from .common import Memo, whole_row
+
+#: Labelled documents used for fitting, at most (those with the smallest hashed ids), and the most characters that one may have.
+#: So the driver gets at most MAX_TRAIN * MAX_TRAIN_CHARS / 2 words' feature indexes, of 4 bytes each.
+MAX_TRAIN, MAX_TRAIN_CHARS = 20_000, 200_000
+#: Sentences from this score on are reported as offending.
+OFFENDING = 0.5
 #: Features of the model, and the fewest training documents that one needs.
 MAX_FEATURES, MIN_DOCS = 1_000, 6
 AFFIX_LENGTHS = (3, 4, 5, 6, 7)
 L2, STEPS, RATE = 5e-5, 400, 0.05
 
-_SENTENCE = re.compile(r"[.!?\n]+")
+# Marks that end a sentence.
+_SENTENCE = re.compile("[.!?\n…؟।。！？｡]+")
 _WORD = re.compile(r"\w+")
 
 
@@ -36,20 +40,11 @@ def word_features(word: str) -> list[str]:
     return found
 
 
-class WordFeatures(dict):
-    """word -> indexes of its features that the model has; emptied when full, which changes speed only."""
-
-    def __init__(self, vocabulary: dict[str, int], most: int = 500_000):
-        super().__init__()
-        self.vocabulary, self.most = vocabulary, most
+class WordFeatures(Memo):
+    """word -> indexes of its features that the model has."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        found = tuple(self.vocabulary[f] for f in word_features(word) if f in self.vocabulary)
-        if len(word) <= 64:
-            self[word] = found
-        return found
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__(lambda word: tuple(vocabulary[f] for f in word_features(word) if f in vocabulary))
 
 
 @dataclass
@@ -66,11 +61,11 @@ class Instances:
     def read(cls, texts: list[str | None], memo: WordFeatures) -> Instances:
         counts, docs, sentences, features, spans = np.zeros(len(texts), np.int64), [], [], [], []
         for d, text in enumerate(texts):
-            at = 0
-            low = (text or "").lower()
-            for m in [*_SENTENCE.finditer(low), None]:
-                end = m.start() if m else len(low)
-                words = _WORD.findall(low, at, end)
+            at, text = 0, text or ""
+            # Cut before lower-casing, which can change lengths: spans are places in the text as it is.
+            for m in [*_SENTENCE.finditer(text), None]:
+                end = m.start() if m else len(text)
+                words = _WORD.findall(text[at:end].lower())
                 if words:
                     counts[d] += 1
                     if found := set().union(*map(memo.__getitem__, words)):
@@ -98,20 +93,31 @@ class Model:
         return np.bincount(x.doc_of, np.logaddexp(0, z), n) + rest * np.logaddexp(0, self.bias)
 
 
+def gradient(model: Model, x: Instances, y: np.ndarray) -> np.ndarray:
+    """Slope of the mean cross-entropy of the noisy-or over document labels, plus the weights' penalty; the bias last."""
+    n = max(1, len(y))
+    z = model.sentence_logits(x)
+    clean = np.exp(-model.log_clean(x, z))
+    slope = (1 - y) - y * clean / np.maximum(1 - clean, 1e-9)
+    by_sentence = slope[x.doc_of] / (1 + np.exp(-z))
+    weights = np.bincount(x.pair_feature, by_sentence[x.pair_sentence], len(model.weights)) / n + L2 * model.weights
+    rest = x.n_sentences - np.bincount(x.doc_of, minlength=len(y))
+    return np.append(weights, (by_sentence.sum() + (slope * rest).sum() / (1 + np.exp(-model.bias))) / n)
+
+
+def loss(model: Model, x: Instances, y: np.ndarray) -> float:
+    """What gradient() is the slope of."""
+    dirty = model.log_clean(x, model.sentence_logits(x))
+    return float(np.where(y > 0, -np.log(-np.expm1(-dirty)), dirty).mean() + L2 / 2 * (model.weights**2).sum())
+
+
 def fit(x: Instances, y: np.ndarray, vocabulary: dict[str, int]) -> Model:
     """Minimise the cross-entropy of the noisy-or over document labels."""
-    size, n = len(vocabulary), max(1, len(y))
+    size = len(vocabulary)
     model = Model(vocabulary, np.zeros(size), -5.0)
     first, second = np.zeros(size + 1), np.zeros(size + 1)
-    rest = x.n_sentences - np.bincount(x.doc_of, minlength=len(y))
     for step in range(1, STEPS + 1 if len(y) else 1):
-        z = model.sentence_logits(x)
-        clean = np.exp(-model.log_clean(x, z))
-        slope = (1 - y) - y * clean / np.maximum(1 - clean, 1e-9)
-        by_sentence = slope[x.doc_of] / (1 + np.exp(-z))
-        grad = np.bincount(x.pair_feature, by_sentence[x.pair_sentence], size) / n + L2 * model.weights
-        bias_grad = (by_sentence.sum() + (slope * rest).sum() / (1 + np.exp(-model.bias))) / n
-        grad = np.append(grad, bias_grad)
+        grad = gradient(model, x, y)
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         model.weights -= move[:-1]
@@ -136,12 +142,13 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(text, label) of the labelled documents that are not held out, at most max_rows of them."""
+    """(text, label) of the labelled documents that are not held out, at most max_rows of them and none beyond MAX_TRAIN_CHARS."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    # Repeated documents train once each; of several labels of a document the highest holds.
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     # At most max_rows rows of two numbers: small enough to broadcast at any input size.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.coalesce(F.char_length("text"), F.lit(0)) <= MAX_TRAIN_CHARS)
     return texts.join(F.broadcast(known), F.col("id") == F.col("_id")).select("id", "text", "label")
 
 
@@ -151,10 +158,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, **colum
     Texts stay on the executors; the driver gets the chosen features, at most MAX_FEATURES, and of the training
     rows, at most max_rows, the indexes of the features in their sentences. Without labels the model is constant.
     """
-    rows = materialize(training_rows(docs, labels, max_rows, **columns), "toxicity-train")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.write(training_rows(docs, labels, max_rows, **columns), "train")
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n or not positive or positive == n:
         # One class only: a constant score on that side.
+        scratch.drop_all()
         return Model({}, np.zeros(0), -9.0 if not positive else 9.0)
     rate = positive / n
     counted = rows.select("text", "label").mapInArrow(_count_features, "feature string, n long, hits long")
@@ -176,24 +185,24 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, **colum
             yield pa.RecordBatch.from_arrays(arrays, ["id", "label", "n", "sentences"])
 
     encoded = rows.mapInArrow(encode, "id long, label int, n long, sentences array<array<int>>").toArrow().sort_by("id")
-    doc_of, pair_sentence, pair_feature = [], [], []
-    for d, held in enumerate(encoded.column("sentences").to_pylist()):
-        for features in held:
-            pair_feature += features
-            pair_sentence += [len(doc_of)] * len(features)
-            doc_of.append(d)
-    x = Instances(encoded.column("n").to_numpy(), np.asarray(doc_of, np.int64), np.asarray(pair_sentence, np.int64), np.asarray(pair_feature, np.int64), [])
+    scratch.drop_all()
+    held = encoded.column("sentences").combine_chunks()
+    by_doc, by_sentence = np.diff(held.offsets.to_numpy()), np.diff(held.flatten().offsets.to_numpy())
+    doc_of = np.repeat(np.arange(len(by_doc)), by_doc)
+    pair_sentence, pair_feature = np.repeat(np.arange(len(by_sentence)), by_sentence), held.flatten().flatten().to_numpy()
+    x = Instances(encoded.column("n").to_numpy(), doc_of, pair_sentence, pair_feature.astype(np.int64), [])
     return fit(x, encoded.column("label").to_numpy().astype(float), vocabulary)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document with its score: doc_id, held_out, score, predicted, n_sentences, worst_start, worst_end, worst_score.
+    """Every document with its score: doc_id, held_out, score, predicted, n_sentences, offending.
 
-    The worst_ columns give the sentence most likely to be toxic, as positions in the lower-cased text, or null if no
-    sentence has a known feature. Whole texts are read; null and empty texts have no sentence and score 0. Rows stay
-    in their partitions, repeated rows are scored alike, null ids are never held out, other columns are not read.
+    offending has the start, end and score of every sentence whose own score is at least OFFENDING, in text order; start and end
+    are places in the text as it is. Whole texts are read; null and empty texts have no sentence and score 0. Rows stay
+    in their partitions, repeated rows are scored alike, null ids are never held out, an empty table gives no rows, other columns are not read.
     """
-    out = "doc_id long, score double, n_sentences long, worst_start long, worst_end long, worst_score double"
+    spans = "array<struct<start: long, end: long, score: double>>"
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordFeatures(model.vocabulary)
@@ -203,15 +212,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 x = Instances.read(batch.column("text").to_pylist(), memo)
                 z = model.sentence_logits(x)
                 total = -np.expm1(-model.log_clean(x, z))
-                start, end, worst = [None] * len(batch), [None] * len(batch), [None] * len(batch)
-                for s in np.argsort(z, kind="stable"):
-                    d = x.doc_of[s]
-                    (start[d], end[d]), worst[d] = x.spans[s], float(1 / (1 + np.exp(-z[s])))
-                arrays = [batch.column("doc_id"), pa.array(total), pa.array(x.n_sentences, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(worst, pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in out.split(", ")])
-
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
-    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_start", "worst_end", "worst_score")
+                own = 1 / (1 + np.exp(-z))
+                found: list[list[dict]] = [[] for _ in range(len(batch))]
+                for s in np.flatnonzero(own >= OFFENDING):
+                    found[x.doc_of[s]].append({"start": x.spans[s][0], "end": x.spans[s][1], "score": float(own[s])})
+                arrays = [batch.column("doc_id"), pa.array(total), pa.array(x.n_sentences, pa.int64()), pa.array(found, kind)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "n_sentences", "offending"])
+
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, score double, n_sentences long, offending {spans}")
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "offending")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

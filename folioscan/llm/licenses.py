@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import Memo
+
 K = 2
 #: Diagonals at most so far apart belong to one occurrence with words put in or left out.
 NEIGHBOUR = 3
@@ -45,6 +47,41 @@ NOTICES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    # Whole notices.
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+        "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+        "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        "of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a "
+        "particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract "
+        "tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must "
+        "retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of "
+        "conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and "
+        "contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+        "notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness",
+    ),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache "
+        "org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or "
+        "conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "gpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either "
+        "version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied "
+        "warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    ),
     # Short forms that name the licence only.
     ("apache-2.0", "apache license version 2 0"),
     ("apache-2.0", "under the apache license"),
@@ -78,27 +115,16 @@ def default_templates() -> list[Template]:
     return [Template(v, tuple(k.split()), True) for k, v in BASE.items()] + [Template(k, tuple(v.split()), False) for k, v in NOTICES]
 
 
-class WordHash(dict):
-    """word -> 64-bit hash; emptied when full, which changes speed only."""
-
-    def __init__(self, most: int = 500_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        found = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = found
-        return found
+def word_memo() -> Memo:
+    """word -> 64-bit hash."""
+    return Memo(xxhash.xxh64_intdigest)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode("utf-8", "replace").lower())
 
 
-def gram_hashes(words: list[bytes], memo: WordHash, k: int = K) -> np.ndarray:
+def gram_hashes(words: list[bytes], memo: Memo, k: int = K) -> np.ndarray:
     """Rolling hashes of all word k-grams, in order; never 0, which marks the document itself."""
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     n = len(h) - k + 1
@@ -114,7 +140,7 @@ def gram_hashes(words: list[bytes], memo: WordHash, k: int = K) -> np.ndarray:
 
 def template_positions(templates: list[Template], k: int = K) -> list[tuple[int, int, int]]:
     """(gram, template, position) of the grams that vote, and the row (0, -1, 0) that stands for every document."""
-    memo, common, rows = WordHash(), set(COMMON), [(0, -1, 0)]
+    memo, common, rows = word_memo(), set(COMMON), [(0, -1, 0)]
     for t, template in enumerate(templates):
         for at, gram in enumerate(gram_hashes([w.encode() for w in template.words], memo, k).tolist()):
             if template.base or not common.issuperset(template.words[at : at + k]):
@@ -124,7 +150,7 @@ def template_positions(templates: list[Template], k: int = K) -> list[tuple[int,
 
 def _document_grams(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, context = WordHash(), TaskContext.get()
+        memo, context = word_memo(), TaskContext.get()
         uid = (context.partitionId() if context else 0) << 36
         start = np.zeros(1, np.int64)
         for whole in batches:
@@ -169,7 +195,8 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, k: int = K, i
     apart = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOUR, F.lit(True))
     lines = lines.withColumn("_cut", apart.cast("int")).withColumn("_run", F.sum("_cut").over(order))
     spans = lines.groupBy("uid", "doc_id", "n_words", "template", "_run", "base", "n_template", "n_grams").agg(
-        F.min("diagonal").alias("start"),
+        # Long notices repeat word pairs, whose diagonals lie beside the true one: a span starts by the diagonal of its first hit.
+        F.greatest(F.lit(0), F.min(F.struct("lo", "diagonal"))["diagonal"]).alias("start"),
         (F.max("hi") - F.min("lo") + k).alias("n_span"),
         (F.size(F.array_distinct(F.flatten(F.collect_list("ats")))) / F.col("n_grams")).alias("cover"),
         F.max(F.struct(F.size("ats").alias("n"), (-F.col("diagonal")).alias("back"), (F.col("hi") - F.col("lo") + k).alias("n_span"))).alias("one"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..session import materialize
+from ..session import Scratch
 from .common import WORD, empty_if_null, null_safe_key, salt_count, whole_row
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -73,7 +73,8 @@ def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     """source, source_size, target: share of all sizes dealt by weight, none above cap times its size.
 
     Dealing out the excess again until nobody is above its cap ends at target = min(cap * size, level * weight)
-    with one level for all; sources in order of cap * size / weight reach their cap first.
+    with one level for all; sources in order of cap * size / weight reach their cap first. The sources are ordered
+    as a whole, so they meet in one task: their number must be small, not that of hosts or users.
     """
     n = len(weights)
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -117,10 +118,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     Null and empty texts have size 0 and are taken 0 words; of repeated rows each counts; an empty table
     gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession, "mix")
     size = F.regexp_count(empty_if_null(text_col), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"))
-    rows = materialize(rows, "mix-sizes")
+    # Rows without an id are told apart by their texts.
+    hashed = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), F.col(text_col))).otherwise(F.xxhash64(F.lit(seed), F.col(id_col)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), hashed.alias("_h"))
+    rows = scratch.write(rows, "sizes")
     parts = salt_count(rows)
     rows = rows.withColumn("_part", F.floor((F.col("_h").cast("double") + 2.0**63) / 2.0**64 * parts).cast("long"))
     counted = rows.groupBy("source", "size", "_part").agg(F.count("*").alias("n"))
@@ -131,7 +134,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     hist = h.join(t, F.col("h.source").eqNullSafe(F.col("t.source"))).select("h.source", "size", "n", "source_size", "target")
     # A group is a source's lengths, not its documents.
     plan = hist.groupBy("source").applyInPandas(_fit(seed), "source string, size long, source_size long, target double, rounds long, more long")
-    plan = materialize(plan, "mix-plan")
+    plan = scratch.write(plan, "plan")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counted.select("source", "size", "_part", before.alias("_before"))
     # Their sizes follow the data, so both sides of these joins are shuffled, not broadcast.

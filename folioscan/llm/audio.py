@@ -9,22 +9,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import Scratch
 from .common import group_in_two_levels, salt_count
-from .dart_minhash import BROADCAST_IDS, mix
-from .graph import connected_components
+from .graph import connected_components, named_classes, renamed, small_side, star_rounds
 
 #: Analysis frames.
 FRAME, HOP = 1024, 256
 LOWEST, HIGHEST = 100.0, 1800.0
 #: Two recordings are one if, aligned, this many packed integers overlap and at most this part of their bits differ.
 MIN_OVERLAP, MAX_BIT_ERRORS = 16, 0.15
-#: Equal codes at one offset that make a pair worth aligning.
-MIN_VOTES = 2
 SPAN = 8
+#: A place's word is its integer and that GAP places on, 64 bits. Words that agree in all KEY_BITS sampled bits of one of TABLES
+#: samples and differ in at most WORD_ERRORS bits vote for their offset.
+GAP, KEY_BITS, TABLES, WORD_ERRORS = 4, 30, 4, 12
 
 Decoder = Callable[[object], tuple[np.ndarray, int]]
 
@@ -121,17 +123,37 @@ def bit_errors(x: np.ndarray, y: np.ndarray, offset: int) -> tuple[int, float]:
     return end - start, float(np.bitwise_count(x[start:end] ^ y[start - offset : end - offset]).mean() / 32)
 
 
-PRINTS = "rec_id long, n_codes long, fingerprint_crc32 long, digest string, codes binary, places array<int>, keys array<long>"
+PRINTS = "uid long, rec_id long, n_codes long, fingerprint_crc32 long, digest string, codes binary, places array<int>, words array<long>"
+
+
+def words_of(codes: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that sound and their 64-bit words; of a run of equal words the first and the last."""
+    if len(codes) <= GAP:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = codes[:-GAP].astype(np.uint64) << np.uint64(32) | codes[GAP:]
+    kept = alive[:-GAP] | alive[GAP:]
+    same = words[1:] == words[:-1]
+    kept[1:-1] &= ~(same[:-1] & same[1:])
+    places = np.flatnonzero(kept)
+    return places, words[places].view(np.int64)
+
+
+def samples(tables: int = TABLES, bits: int = KEY_BITS) -> list[int]:
+    """Masks of the sampled bits, the same in every run, as signed 64-bit numbers."""
+    rng = np.random.default_rng(7)
+    masks = [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def fingerprints(media: DataFrame, id_col: str, media_col: str, decode: Decoder = decode_wav) -> DataFrame:
-    """rec_id, n_codes, fingerprint_crc32, digest, codes, places, keys of each recording.
+    """uid, rec_id, n_codes, fingerprint_crc32, digest, codes, places, words of each recording; uid numbers rows.
 
-    keys are hashes of two neighbouring integers at the places that sound. Recordings that are null, unreadable or
-    shorter than SPAN frames have no code.
+    Recordings that are null, unreadable or shorter than SPAN frames have no code.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        uid = (context.partitionId() if context else 0) << 36
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch, rows = whole.slice(at, 500), []
@@ -139,78 +161,86 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, decode: Decoder
                     image = chroma(*decode(value.as_py()))
                     codes, alive = fingerprint(image), sounding(image)
                     data = codes.astype("<u4").tobytes()
-                    places = np.flatnonzero(alive[:-1] & alive[1:])
-                    keys = mix(codes[places].astype(np.uint64) << np.uint64(32) | codes[places + 1] if len(places) else np.zeros(0, np.uint64))
-                    digest = f"{len(codes)}:{zlib.crc32(data)}:{zlib.adler32(data)}" if alive.any() else f"silent:{rec}"
-                    rows.append((rec, len(codes), zlib.crc32(data), digest, data, places, keys.view(np.int64)))
+                    digest = f"{len(codes)}:{xxhash.xxh3_128_hexdigest(data)}" if alive.any() else f"silent:{uid}"
+                    rows.append((uid, rec, len(codes), zlib.crc32(data), digest, data, *words_of(codes, alive)))
+                    uid += 1
                 c = list(zip(*rows))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], [n.split()[0] for n in PRINTS.split(", ")])
 
     return media.select(F.col(id_col).cast("long").alias("rec_id"), F.col(media_col).alias("media")).mapInArrow(run, PRINTS)
 
 
+def same_sound(x: np.ndarray, y: np.ndarray, offset: int) -> bool:
+    """Whether x and y overlap enough at the offset and few enough bits differ there."""
+    overlap, errors = bit_errors(x, y, offset)
+    return overlap >= MIN_OVERLAP and errors <= MAX_BIT_ERRORS
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = []
-        for x, y, offset in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("offset").to_pylist()):
-            overlap, errors = bit_errors(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), offset)
-            good.append(overlap >= MIN_OVERLAP and errors <= MAX_BIT_ERRORS)
+        offsets = batch.column("offset").to_pylist()
+        good = [same_sound(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), o) for x, y, o in zip(batch.column("x"), batch.column("y"), offsets)]
         kept = batch.filter(pa.array(good, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b"), kept.column("offset")], ["a", "b", "offset"])
-
-
-def _best_offsets(votes: DataFrame) -> DataFrame:
-    """(a, b, offset) of the fullest bin of each pair's offset histogram, if it has MIN_VOTES; of equal ones the least."""
-    bins = votes.groupBy("a", "b", "offset").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_VOTES)
-    return bins.groupBy("a", "b").agg(F.max_by("offset", F.struct("n", -F.col("offset"))).alias("offset"))
-
-
-def _verified(pairs: DataFrame, prints: DataFrame, name: str) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    codes = prints.select("rec_id", "codes").join(F.broadcast(ids) if few else ids, F.col("rec_id") == F.col("id"), "left_semi").dropDuplicates(["rec_id"])
-    x, y = codes.select(F.col("rec_id").alias("a"), F.col("codes").alias("x")), codes.select(F.col("rec_id").alias("b"), F.col("codes").alias("y"))
-    joined = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
-    return materialize(joined.select("a", "b", "x", "y", "offset").mapInArrow(_aligned, "a long, b long, offset int"), name)
+        yield pa.RecordBatch.from_arrays([kept.column("ra"), kept.column("rb")], ["a", "b"])
+
+
+def _links(pairs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edges (a, b) between the roots of the pairs that sound the same at one of their offsets; pairs is written."""
+    ids = scratch.write(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), "ids")
+    codes = prints.select("uid", "codes").join(small_side(ids), "uid", "left_semi")
+    x, y = codes.select(F.col("uid").alias("a"), F.col("codes").alias("x")), codes.select(F.col("uid").alias("b"), F.col("codes").alias("y"))
+    # A pair's histogram: every bin with votes is aligned, the fullest first.
+    bins = pairs.groupBy("a", "b", "ra", "rb", "offset").agg(F.count("*").alias("votes"))
+    joined = bins.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
+    out = scratch.write(joined.select("ra", "rb", "x", "y", "offset").mapInArrow(_aligned, "a long, b long").distinct(), "links")
+    scratch.drop(ids)
+    return out
 
 
 def same_recordings(media: DataFrame, id_col: str, media_col: str, decode: Decoder = decode_wav) -> DataFrame:
     """One row per recording: rec_id, n_codes, fingerprint_crc32, class_id, class_size.
 
-    Two recordings are linked if at the fullest offset of their histogram of equal keys they overlap and agree well
+    Two recordings are linked if at an offset of their histogram of votes they overlap and agree well
     enough; classes are the components of the links, named by their smallest id. Equal fingerprints are one recording at
-    once. Each key's recordings meet its centre first; keys that still span several components then meet across those, so
-    no group is expanded into its pairs. Silent, null and short recordings are classes of their own; rows that share an
-    id share a class; null ids keep a null class; an empty table gives no rows; other columns are not read.
+    once. Votes come from places whose words agree in a sample of their bits; in each such bucket the members meet some
+    centres, round by round, until it holds one component, so no group is expanded into its pairs and none is dropped. Silent, null and
+    short recordings are classes of their own; rows are told apart by their place, so repeated and null ids each are in
+    the class of their own sound; an empty table gives no rows; other columns are not read.
     """
-    prints = materialize(fingerprints(media, id_col, media_col, decode), "audio-prints")
-    copies = materialize(group_in_two_levels(prints.select("rec_id", "digest"), ["digest"], "rec_id", salt_count(prints)), "audio-copies")
-    first = copies.where("kept AND rec_id IS NOT NULL").select("rec_id", "digest")
-    codes = prints.join(first.hint("merge"), ["rec_id", "digest"], "left_semi").select("rec_id", F.explode(F.arrays_zip("places", "keys")).alias("z"))
-    codes = materialize(codes.select("rec_id", F.col("z.keys").alias("key"), F.col("z.places").alias("place")), "audio-codes")
-    centres = codes.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rec_id").alias("h"), "rec_id", "place")).alias("m"), F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi"))
-    centres = centres.where("lo <> hi").select("key", F.col("m.rec_id").alias("centre"), F.col("m.place").alias("at"))
-    shared = materialize(codes.join(centres.hint("merge"), "key"), "audio-shared")
-    one, sign = F.col("rec_id") < F.col("centre"), F.col("place") - F.col("at")
-    votes = shared.where("rec_id <> centre").select(F.least("rec_id", "centre").alias("a"), F.greatest("rec_id", "centre").alias("b"), F.when(one, sign).otherwise(-sign).alias("offset"))
-    links = _verified(materialize(_best_offsets(votes), "audio-pairs"), prints, "audio-links")
-    roots = materialize(connected_components(links, "audio-first"), "audio-roots")
-
-    shared = shared.join(roots.hint("merge"), F.col("rec_id") == F.col("node"), "left").select("key", "rec_id", "place", F.coalesce("root", "rec_id").alias("root"))
-    split = shared.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(shared.join(split.hint("merge"), "key", "left_semi"), "audio-rest")
-    l, r = rest.alias("l"), rest.alias("r")
-    across = l.join(r.hint("merge"), (F.col("l.key") == F.col("r.key")) & (F.col("l.rec_id") < F.col("r.rec_id")) & (F.col("l.root") != F.col("r.root")))
-    votes = across.select(F.col("l.rec_id").alias("a"), F.col("r.rec_id").alias("b"), (F.col("l.place") - F.col("r.place")).alias("offset"))
-    extra = _verified(materialize(_best_offsets(votes), "audio-more"), prints, "audio-extra")
-    joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(extra.select("a", "b"))
-    final = connected_components(joined, "audio-last")
-
-    c, f = copies.alias("c"), final.hint("merge").alias("f")
-    named = c.join(f, F.col("c.keep_id") == F.col("f.node"), "left").select("c.rec_id", "c.digest", F.coalesce("f.root", "c.keep_id").alias("class_id"), F.when(F.col("c.kept"), F.col("c.group_size")).alias("n"))
-    named = materialize(named, "audio-classes")
-    sizes = named.groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    n, s, p = named.alias("n"), sizes.hint("merge").alias("s"), prints.select("rec_id", "digest", "n_codes", "fingerprint_crc32").distinct().alias("p")
-    out = n.join(s, F.col("n.class_id") == F.col("s.class_id"), "left").join(p.hint("merge"), F.col("n.rec_id").eqNullSafe(F.col("p.rec_id")) & (F.col("n.digest") == F.col("p.digest")))
-    return out.select("n.rec_id", "n_codes", "fingerprint_crc32", "n.class_id", F.coalesce("s.class_size", F.lit(1)).alias("class_size"))
+    scratch = Scratch(media.sparkSession, "audio")
+    prints = scratch.write(fingerprints(media, id_col, media_col, decode), "prints")
+    place = F.struct(F.col("rec_id").isNull().alias("null"), F.col("rec_id").alias("id"), "uid").alias("place")
+    copies = scratch.write(group_in_two_levels(prints.select(place, "digest"), ["digest"], "place", salt_count(prints)), "copies")
+    first = copies.where("kept").select(F.col("place.uid").alias("uid"))
+    words = prints.join(first.hint("merge"), "uid", "left_semi").select("uid", F.explode(F.arrays_zip("places", "words")).alias("z"))
+    keys = [F.xxhash64(F.lit(i), F.col("z.words").bitwiseAND(F.lit(m))) for i, m in enumerate(samples())]
+    codes = words.select("uid", F.struct(F.col("z.places").alias("place"), F.col("z.words").alias("word")).alias("facts"), F.explode(F.array(*keys)).alias("bucket"))
+    close = lambda x, y: F.bit_count(F.col(f"{x}.facts.word").bitwiseXOR(F.col(f"{y}.facts.word"))) <= WORD_ERRORS
+    offset = lambda x, y: {"offset": F.col(f"{x}.facts.place") - F.col(f"{y}.facts.place")}
+    # A bucket's centre has the least rank, the same in every bucket, so that a pair's votes come together. Most buckets hold one
+    # word, or two that differ too much: they end here, after one exchange.
+    whole = Window.partitionBy("bucket")
+    centre = F.min(F.struct(F.xxhash64("uid").alias("rank"), "uid", "facts")).over(whole)
+    marked = codes.withColumn("c", centre).withColumn("n", F.count("*").over(whole)).where("n > 1")
+    near = (F.col("uid") != F.col("c.uid")) & (F.bit_count(F.col("facts.word").bitwiseXOR(F.col("c.facts.word"))) <= WORD_ERRORS)
+    marked = scratch.write(marked.withColumn("near", near).where("near OR (n > 2 AND (uid <> c.uid OR facts <> c.facts))"), "marked")
+    turned, apart = F.col("uid") < F.col("c.uid"), F.col("facts.place") - F.col("c.facts.place")
+    ends = [F.least("uid", "c.uid").alias("a"), F.greatest("uid", "c.uid").alias("b"), F.least("uid", "c.uid").alias("ra"), F.greatest("uid", "c.uid").alias("rb")]
+    pairs = scratch.write(marked.where("near").select(*ends, F.when(turned, apart).otherwise(-apart).alias("offset")).distinct(), "pairs")
+    first = _links(pairs, prints, scratch)
+    roots = connected_components(first, scratch, "roots")
+    rest = marked.where("n > 2").select("bucket", "uid", F.col("uid").alias("root"), "facts")
+    rest = scratch.write(renamed(rest, roots), "rest")
+    scratch.drop(marked, pairs, roots)
+    found = [first, *star_rounds(rest, close, F.xxhash64("uid"), lambda pairs: _links(pairs, prints, scratch), scratch, offset)]
+    edges = found[0]
+    for links in found[1:]:
+        edges = edges.union(links)
+    facts = scratch.write(prints.select("uid", "n_codes", "fingerprint_crc32"), "facts")
+    edges = scratch.write(edges, "edges")
+    scratch.drop(prints, *found)
+    components = connected_components(edges, scratch, "last")
+    scratch.drop(edges)
+    named = named_classes(copies, components, scratch)
+    return named.join(facts.hint("merge"), "uid").select(F.col("id").alias("rec_id"), "n_codes", "fingerprint_crc32", "class_id", "class_size")

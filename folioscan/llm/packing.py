@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -12,26 +15,82 @@ from pyspark.sql import DataFrame
 
 WINDOW = 2048
 END_ID = 1
+#: Windows left open at the end are cut at powers of two down to this length.
+SHORTEST = 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class ChunkIds:
-    """ASCII-space-free chunk of text -> its ids as little-endian unsigned 32-bit bytes.
+#: Characters below this code point are tokenised by the short way.
+LATIN = 0x180
+
+
+def _byte_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the others from 256 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
+
 
-    The tokenizer collapses white space and never joins pieces across it, so a text's ids are those of its
-    chunks in order. Chunks not met before are encoded together, in one text with spaces between, and told apart by
-    the places of their ids. The memo is emptied when full, which changes speed only.
+class LatinIds:
+    """Ids of texts of the first code points, by the tokenizer file's own vocabulary and merges on a plain merge engine.
+
+    A word's end mark is a byte of its own here, which merges with the byte before it ahead of all other merges; ranks are
+    the file's order of merges. Words are split and lower-cased as the file says, which is easy for these characters: none is
+    changed by normalisation, and their classes are fixed.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer_path: str):
+        import tiktoken
+
+        with open(tokenizer_path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, suffix, byte_of = model["vocab"], model["end_of_word_suffix"], _byte_characters()
+        tokens = [*byte_of, *(c + suffix for c in byte_of)]
+        tokens += ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ranks: dict[bytes, int] = {b"\0": 0}
+        ids = [0]
+        for token in tokens:
+            ends = token.endswith(suffix) and token != suffix
+            raw = bytes(byte_of[c] for c in (token[: -len(suffix)] if ends else token)) + b"\0" * ends
+            if ranks.setdefault(raw, len(ids)) == len(ids):
+                ids.append(vocabulary[token])
+        self.ids = np.asarray(ids, "<u4")
+        self.engine = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        kinds: dict[str, list[str]] = {}
+        for c in map(chr, range(LATIN)):
+            kinds.setdefault(unicodedata.category(c)[0], []).append(re.escape(c))
+        letters, numbers = "".join(kinds["L"]), "".join(kinds["N"])
+        self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r \x85\xa0{letters}{numbers}]+")
+        self.odd = re.compile(f"[^\x01-{chr(LATIN - 1)}]|<\\|")
+
+    def of(self, text: str) -> bytes | None:
+        """The ids as little-endian unsigned 32-bit bytes; None for a text with other characters or special tokens."""
+        if self.odd.search(text):
+            return None
+        words = self.words.findall(text.lower())
+        return self.ids[self.engine.encode_to_numpy("\0".join(words) + "\0")].tobytes() if words else b""
+
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+class ChunkIds:
+    """Texts' ids as little-endian unsigned 32-bit bytes.
+
+    Texts that LatinIds can't tokenise are split at white space: the tokenizer collapses it and never joins pieces across it, so a
+    text's ids are those of its chunks in order. Chunks that aren't Latin and not met before are encoded together, in one text
+    with spaces between, and told apart by the places of their ids. The memo is emptied when full, which changes speed only.
+    """
+
+    def __init__(self, tokenizer_path: str, most: int = 50_000):
+        self.path, self.tokenizer = tokenizer_path, None
+        self.latin = LatinIds(tokenizer_path)
         self.memo: dict[bytes, bytes] = {}
         self.most = most
 
     def _learn(self, chunks: list[bytes]) -> None:
+        if self.tokenizer is None:  # most tasks need it for no text
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         texts = [c.decode() for c in chunks]
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
@@ -42,15 +101,16 @@ class ChunkIds:
         self.memo.update((c, whole[4 * i : 4 * j]) for c, i, j in zip(chunks, cuts[:-1].tolist(), cuts[1:].tolist()))
 
     def of_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        found = [self.latin.of(t or "") for t in texts]
+        split = {i: (t or "").encode("utf-8", "replace").split() for i, t in enumerate(texts) if found[i] is None}
         if len(self.memo) >= self.most:
             self.memo.clear()
-        missing = list(set().union(*split).difference(self.memo))
+        missing = list(set().union(*split.values()).difference(self.memo))
         for at in range(0, len(missing), 300):
             self._learn(missing[at : at + 300])
         get = self.memo.__getitem__
-        for chunks in split:
-            yield b"".join(map(get, chunks))
+        for i, ids in enumerate(found):
+            yield b"".join(map(get, split[i])) if ids is None else ids
 
 
 class SumOfSquares:
@@ -106,6 +166,8 @@ class Packer:
         self.window, self.next_sequence = window, first_sequence
         self.fill = SumOfSquares(window)
         self.out: list[tuple] = []
+        #: Ids in whole windows of their own, in windows where the sum of squares put them, and in sequences of rests.
+        self.whole = self.placed = self.joined = 0
 
     def _emit(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -121,31 +183,48 @@ class Packer:
         whole = len(ids) // step * step
         for at in range(0, whole, step):
             self._emit([(doc_id, at // 4, ids[at : at + step], total)])
+            self.whole += self.window
         if whole < len(ids):
             rest = ids[whole:]
             full = self.fill.add(len(rest) // 4, (doc_id, whole // 4, rest, total))
             if full:
                 self._emit(full)
+                self.placed += self.window
 
     def close(self) -> None:
-        """Cut the pieces of the windows still open into full windows, and the last one at powers of two."""
-        pieces = [p for held in self.fill.open_windows() for p in held]
-        left = sum(len(p[2]) for p in pieces) // 4
-        pieces.reverse()
+        """Cut the windows still open at powers of two; what is left of each below SHORTEST joins others' rests.
+
+        So each piece stays with those it was placed with, sequences need no padding, and only the rests are put together anew.
+        """
+        rests: list[tuple] = []
+        for held in self.fill.open_windows():
+            pieces = held[::-1]
+            left = sum(len(p[2]) for p in pieces) // 4
+            self.placed += left
+            while left >= SHORTEST:
+                left -= self._cut(pieces, 1 << (left.bit_length() - 1))
+            rests += pieces
+        left = sum(len(p[2]) for p in rests) // 4
+        self.placed -= left
+        self.joined += left
+        rests.reverse()
         while left:
-            room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-            left -= room
-            held = []
-            while room:
-                doc_id, start, ids, total = pieces.pop()
-                n = min(room, len(ids) // 4)
-                held.append((doc_id, start, ids[: 4 * n], total))
-                if 4 * n < len(ids):
-                    pieces.append((doc_id, start + n, ids[4 * n :], total))
-                room -= n
-            self._emit(held)
+            left -= self._cut(rests, self.window if left >= self.window else 1 << (left.bit_length() - 1))
         self.fill = SumOfSquares(self.window)
 
+    def _cut(self, pieces: list[tuple], size: int) -> int:
+        """Emit the first `size` ids of a stack of pieces as a sequence; what remains of the last one goes back."""
+        held, room = [], size
+        while room:
+            doc_id, start, ids, total = pieces.pop()
+            n = min(room, len(ids) // 4)
+            held.append((doc_id, start, ids[: 4 * n], total))
+            if 4 * n < len(ids):
+                pieces.append((doc_id, start + n, ids[4 * n :], total))
+            room -= n
+        self._emit(held)
+        return size
+
     def rows(self) -> list[tuple]:
         out, self.out = self.out, []
         return out
@@ -163,8 +242,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each task packs the rows of its own partition, so nothing is shuffled and a lost task repeats exactly: the
-    state is one count and the open windows' pieces per fill level. Sequences are full windows; the last
-    ids of a partition end in windows whose lengths are powers of two, so no sequence needs padding. A
+    state is one count and the open windows' pieces per fill level. Sequences are full windows; windows
+    that a partition leaves open are cut at powers of two, so no sequence needs padding. A
     document's ids end with end_id; null and empty text give that id alone. Repeated rows are packed as often as
     they occur, null ids stay null, an empty table gives no rows and other columns are not read.
     """

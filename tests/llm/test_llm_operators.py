@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -783,6 +784,23 @@ def test_lines_with_growing_edits(spark):
     assert got == {i: want[first[t]] for i, t, _ in rows}
 
 
+def test_line_keys_are_small(spark):
+    """A text's keys take few bytes on their way, and no pair within the edits is lost to them."""
+    from folioscan.llm.line_dedup import SHARE, _emit_grams, _meet, _once, within, within_many
+
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(61, 900))) for _ in range(300)]
+    lines = base + [x[:20] + "zz" + x[22:-9] + x[-8:] for x in base]
+    batch = pa.RecordBatch.from_arrays([pa.array(lines), pa.array(range(len(lines)), pa.int64())], ["line", "lid"])
+    keys = list(_emit_grams(2, SHARE, 4)(iter([batch])))
+    assert sum(len(x) for b in keys for x in b.column("data").to_pylist()) < 2 * sum(map(len, lines))
+    got = [r for b in _once(_meet(2, SHARE, 4)(iter(keys))) for r in b.to_pylist()]
+    lid = {r["a"]: r["b"] for r in got if r["id"]}
+    assert {(i, i + 300) for i in range(300)} <= {tuple(sorted((lid[r["a"]], lid[r["b"]]))) for r in got if not r["id"]}
+    most = np.array([rng.randrange(1, 60) for _ in base])
+    assert within_many(base, lines[300:], most).tolist() == [within(x, y, k) <= k for x, y, k in zip(base, lines[300:], most.tolist())]
+
+
 def test_audio(spark):
     import io
     import wave

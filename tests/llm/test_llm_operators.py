@@ -801,6 +801,35 @@ def test_line_keys_are_small(spark):
     assert within_many(base, lines[300:], most).tolist() == [within(x, y, k) <= k for x, y, k in zip(base, lines[300:], most.tolist())]
 
 
+
+def test_near_copies_of_a_line_meet_few():
+    """Pairs grow with the copies, not with their square; pairs of lines that no link joins all meet, wherever their edits are."""
+    from types import SimpleNamespace
+
+    from folioscan.llm.line_dedup import SHARE, _across, _emit_grams, _meet, _once
+
+    rng = random.Random(5)
+    base = [rng.choice("abcdefgh ") for _ in range(400)]
+    copies = ["".join(base[:at] + ["z"] + base[at + 1 :]) for at in range(300)]
+    # Evenly spread edits leave the shortest runs.
+    even = "".join("z" if i % 20 == 10 else c for i, c in enumerate(base))
+    lines = [*copies, even]
+    batch = pa.RecordBatch.from_arrays([pa.array(lines), pa.array(range(len(lines)), pa.int64())], ["line", "lid"])
+    met = list(_meet(2, SHARE, 4)(iter(_emit_grams(2, SHARE, 4)(iter([batch])))))
+    got = [r for b in _once(iter(met)) for r in b.to_pylist()]
+    lid = {r["a"]: r["b"] for r in got if r["id"]}
+    pairs = [(lid[r["a"]], lid[r["b"]]) for r in got if not r["id"]]
+    assert {i for p in pairs for i in p} == set(range(301)) and len(pairs) < 20 * len(lines)
+    handles = np.array(sorted(h for h, i in lid.items() if i < 300))
+    left = [b for b in met if b.column("base")[0].as_py() < 0]
+
+    def across(roots):
+        known = SimpleNamespace(value=(handles, np.array(roots)))
+        return {tuple(sorted((lid[r["a"]], lid[r["b"]]))) for b in _once(_across(2, SHARE, 4, known)(iter(left))) for r in b.to_pylist()}
+
+    assert across([-1] * 300) == {(i, 300) for i in range(300)}
+    assert len(across([-1 - i for i in range(300)])) == 300 * 301 // 2
+
 def test_audio(spark):
     import io
     import wave
